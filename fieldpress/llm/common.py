@@ -69,10 +69,6 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(33))
@@ -135,5 +131,55 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+#: A random number for each byte value, and which bytes separate words.
+BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PIECE = 1 << 20
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, in order; no word is made an object."""
+    if len(data) > _PIECE:  # cut at white space, so that memory doesn't grow with the text
+        out, at = [], 0
+        while at < len(data):
+            end = at + _PIECE
+            while end < len(data) and not _SPACE[data[end]]:
+                end += 1
+            out.append(_word_hashes(data[at:end]))
+            at = end
+        return np.concatenate(out)
+    return _word_hashes(data)
+
+
+def word_hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts in a row, and how many each text has."""
+    if sum(map(len, texts)) > _PIECE:
+        found = [word_hashes(t) for t in texts]
+        return np.concatenate([np.empty(0, np.uint64), *found]), np.array([len(f) for f in found], np.int64)
+    start, hashes = _words(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    return _words(data)[1]
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, np.uint8)
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    space = _SPACE[x]
+    change = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        change = np.r_[0, change]
+    if not space[-1]:
+        change = np.r_[change, len(x)]
+    p = prefix(BYTES[x])
+    start, end = change[::2], change[1::2]
+    return start, mix((p[end] - p[start]) * _power(_INVERSE, len(p))[start] + (end - start).astype(np.uint64))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)

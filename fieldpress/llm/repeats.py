@@ -30,33 +30,41 @@ CHUNK = 1 << 19
 
 @dataclass(frozen=True)
 class Kind:
-    """What is compared: ``units`` gives a text's units as 64-bit hashes."""
+    """What is compared: ``units`` gives texts' units in a row, as 64-bit hashes, and how many each text has."""
 
-    units: Callable[[str], np.ndarray]
+    units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     window: int
     anchor: int
 
 
-def anchors(x: np.ndarray, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Start of the first window, number of windows, anchor hash, context hash: a row for each anchor."""
+def anchors(x: np.ndarray, counts: np.ndarray, kind: Kind) -> Iterator[tuple[np.ndarray, ...]]:
+    """For texts in a row (text, start of the first window in it, windows, anchor hash, context hash), a row for each anchor."""
     windows = len(x) - kind.window + 1
+    text = np.repeat(np.arange(len(counts)), counts)
+    begin = np.cumsum(counts) - counts
     for at in range(0, max(windows, 0), CHUNK):
         n = min(CHUNK, windows - at)
         part = x[at : at + n + kind.window - 1]
+        inside = np.flatnonzero(text[at : at + n] == text[at + kind.window - 1 : at + n + kind.window - 1])
+        if not len(inside):
+            continue
         p = prefix(part)
         runs = np.arange(len(part) - kind.anchor + 1)
         h = span_hash(p, runs, runs + kind.anchor)
-        place = window_minima(h, kind.window - kind.anchor + 1)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        count = np.diff(np.r_[first, n])
+        place = window_minima(h, kind.window - kind.anchor + 1)[inside]
+        new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1)])
+        count = np.diff(np.r_[new, len(inside)])
+        first = inside[new]
         context = span_hash(p, first, first + count + kind.window - 1)
-        yield first + at, count, signed(h[place[first]]), signed(mix(context + count.astype(np.uint64)))
+        where = text[first + at]
+        yield where, first + at - begin[where], count, signed(h[place[new]]), signed(mix(context + count.astype(np.uint64)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text: together they name a row, also where doc_ids repeat."""
+def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text and a hash t of the text: together they name a row, also where doc_ids repeat. Columns ``carry`` go along in ``rest``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    more = [F.struct(*carry).alias("rest")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), *more)
 
 
 def _anchor_rows(kind: Kind):
@@ -64,22 +72,31 @@ def _anchor_rows(kind: Kind):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, ids = [], []
-            for doc, text, t in zip(batch["doc_id"].to_pylist(), batch["text"], batch["t"].to_pylist()):
-                if doc is None:
-                    continue
-                for s, n, h, c in anchors(kind.units(text.as_py()), kind):
-                    parts.append((s, n, h, c))
-                    ids.append((doc, t))
-            if parts:
-                sizes = [len(p[0]) for p in parts]
-                s, n, h, c = (np.concatenate(x) for x in zip(*parts))
-                doc, t = (np.repeat(np.array(x, np.int64), sizes) for x in zip(*ids))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(t), pa.array(s), pa.array(n.astype(np.int32)), pa.array(h), pa.array(c)], schema=schema)
+            for some in groups([(doc, t, encoded(x)) for doc, t, x in zip(batch["doc_id"].to_pylist(), batch["t"].to_pylist(), batch["text"]) if doc is not None]):
+                doc, t = (np.array([r[i] for r in some], np.int64) for i in (0, 1))
+                for where, s, n, h, c in anchors(*kind.units([r[2] for r in some]), kind):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[where]), pa.array(t[where]), pa.array(s), pa.array(n.astype(np.int32)), pa.array(h), pa.array(c)], schema=schema)
 
     return rows
 
 
+def encoded(text: pa.StringScalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
+def groups(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[tuple]]:
+    """Rows, whose last field is bytes, in groups of about ``most`` bytes: small texts are worked on together."""
+    some, size = [], 0
+    for r in rows:
+        if some and size + len(r[-1]) > most:
+            yield some
+            some, size = [], 0
+        some.append(r)
+        size += len(r[-1]) + 1
+    if some:
+        yield some
+
+
 def repeated(docs: DataFrame, kind: Kind, others: bool, sorter=None) -> DataFrame:
     """(doc_id, t, s, n): windows s to s + n - 1 of that row repeat.
 
@@ -87,7 +104,8 @@ def repeated(docs: DataFrame, kind: Kind, others: bool, sorter=None) -> DataFram
     anywhere else at all. ``sorter`` (bytes only) puts the windows of one batch in order and tells which are
     equal, so that they go on as one row for each document; see ``suffix_dedup``. Documents without a doc_id neither give nor take windows.
     """
-    found = docs.mapInArrow(_anchor_rows(kind), "doc_id long, t long, s long, n int, h long, c long")
+    docs = docs.select("doc_id", "text", "t")
+    found = written(docs.mapInArrow(_anchor_rows(kind), "doc_id long, t long, s long, n int, h long, c long"), "all")
     per = found.groupBy("h").agg(F.count("*").alias("k"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     per = per.filter("low < high" if others else "k > 1").select("h", (F.col("c0") < F.col("c1")).alias("several"))
     # Written and read again, a side of a join is shuffled for that join alone, and AQE can split a hot key.
@@ -135,9 +153,8 @@ def _window_rows(kind: Kind, sorter):
         for batch in batches:
             data, held, size = [], [], 0
             for doc, text, t, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch["t"].to_pylist(), batch["spans"].to_pylist()):
-                text = text.as_py()
-                x = kind.units(text)
-                raw = text.encode("utf-8", "surrogatepass") if sorter else b""
+                raw = encoded(text)
+                x, _ = kind.units([raw])
                 spans.sort(key=lambda r: r["s"])
                 for some in _portions(spans):
                     s, n, h, k = (np.array([r[c] for r in some], np.int64) for c in ("s", "n", "h", "k"))

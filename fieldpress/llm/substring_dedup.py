@@ -22,19 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import split_words, word_hashes
+from .common import prefix, span_hash, split_words, word_hashes, word_hashes_of
 from .repeats import CHUNK, Kind, keyed, repeated
 
 _SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _units(text: str) -> np.ndarray:
-    return word_hashes(split_words(text))
-
-
 def word_kind(window: int) -> Kind:
-    return Kind(_units, window, max(1, -(-window // 2)))
+    return Kind(word_hashes_of, window, max(1, -(-window // 2)))
 
 
 def covered(n_units: int, spans: list[dict], x: np.ndarray | None, window: int) -> np.ndarray:
@@ -45,8 +42,6 @@ def covered(n_units: int, spans: list[dict], x: np.ndarray | None, window: int)
     edge = np.zeros(n_units + 1, np.int64)
     s, n = (np.array([r[c] for r in spans], np.int64) for c in ("s", "n"))
     if x is not None and (n == 1).any():
-        from .common import prefix, span_hash
-
         for at in range(0, n_units - window + 1, CHUNK):  # equal windows of one document get one verdict
             part = x[at : at + CHUNK + window - 1]
             starts = np.arange(len(part) - window + 1)
@@ -60,9 +55,9 @@ def covered(n_units: int, spans: list[dict], x: np.ndarray | None, window: int)
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_removals(docs: DataFrame, kind: Kind, others: bool, sorter=None) -> DataFrame:
-    """doc_id, t, text and the array ``spans`` of repeated windows (null where there are none)."""
-    docs = keyed(docs)
+def with_removals(docs: DataFrame, kind: Kind, others: bool, sorter=None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, t, text (and rest) and the array ``spans`` of repeated windows (null where there are none)."""
+    docs = keyed(docs, carry)
     spans = repeated(docs, kind, others, sorter)
     spans = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     return docs.join(spans, ["doc_id", "t"], "left")
@@ -70,22 +65,24 @@ def with_removals(docs: DataFrame, kind: Kind, others: bool, sorter=None) -> Dat
 
 def _judged(window: int, texts: bool):
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("t", pa.int64()), ("kept_text", pa.string())] * texts)
+    schema = pa.schema(fields + [("kept_text", pa.string())] * texts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, t, text, spans in zip(batch["doc_id"].to_pylist(), batch["t"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist()):
+            for doc, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist()):
                 words, kept, gone = split_words(text), text, 0
                 n = len(words)
                 if spans:
-                    mask = covered(n, spans, word_hashes(words), window)
+                    mask = covered(n, spans, word_hashes(text.encode("utf-8", "surrogatepass")), window)
                     gone = int(mask.sum())
                     if texts:
                         kept = _cut(text.encode("utf-8", "surrogatepass"), mask).decode("utf-8", "surrogatepass")
                     words = [w for w, m in zip(words, mask.tolist()) if not m]
-                out.append((doc, n, gone, hashlib.sha256(b" ".join(words)).hexdigest()) + (t, kept) * texts)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+                out.append((doc, n, gone, hashlib.sha256(b" ".join(words)).hexdigest()) + (kept,) * texts)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema]
+            rest = ["rest"] if "rest" in batch.schema.names else []
+            yield pa.RecordBatch.from_arrays([*columns, *(batch[c] for c in rest)], names=[*schema.names, *rest])
 
     return rows
 
@@ -104,10 +101,11 @@ def _cut(data: bytes, mask: np.ndarray) -> bytes:
     return b"".join(out) + (b"" if cut else data[end:])
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256; with ``texts`` also t (hash of the whole text) and kept_text."""
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", t long, kept_text string" * texts
-    return with_removals(docs, word_kind(window), True).select("doc_id", "t", "text", "spans").mapInArrow(_judged(window, texts), schema)
+def remove_repeats(docs: DataFrame, window: int = 50, texts: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256; with ``texts`` also kept_text; columns ``carry`` of docs in the struct ``rest``."""
+    found = with_removals(docs, word_kind(window), True, carry=carry).drop("t")
+    fields = [T.StructField(c, T.StringType() if "sha" in c or "text" in c else T.LongType()) for c in ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts]
+    return found.mapInArrow(_judged(window, texts), T.StructType(fields + [found.schema[c] for c in ["rest"] * bool(carry)]))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,15 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import _INVERSE, _power, prefix
+from .common import _INVERSE, BYTES, _power, prefix
 from .repeats import Kind
 from .substring_dedup import covered, with_removals
 
-_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 
-
-def _units(text: str) -> np.ndarray:
-    return _BYTES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return BYTES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
 
 
 def byte_kind(window: int) -> Kind:
@@ -42,7 +40,7 @@ class Suffixes:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, length: int):
         self.data, self.starts, self.length = data, starts, length
-        self.p, self.back = prefix(_BYTES[data]), _power(_INVERSE, len(data) + 1)
+        self.p, self.back = prefix(BYTES[data]), _power(_INVERSE, len(data) + 1)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, by binary search over prefix hashes."""
