@@ -37,6 +37,8 @@ def _forget(spark: SparkSession, folder: str) -> None:
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
+    if not folder:
+        return
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

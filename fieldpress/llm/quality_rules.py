@@ -75,7 +75,9 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     }
     docs = docs.withColumns(ratios)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return docs.withColumn("base_failed", failed).drop("text", "words", "lines", "h", "triples", "placed")
+    docs = docs.withColumn("base_failed", failed).drop("text", "words", "lines", "h", "triples", "placed")
+    # Through a generator of one row: a filter on a statistic would else be pushed down with all expressions unfolded in it.
+    return docs.select("doc_id", F.inline(F.array(F.struct(*[c for c in docs.columns if c != "doc_id"]))))
 
 
 # ---------------------------------------------------------------- learning
@@ -98,7 +100,8 @@ def _grow(x: np.ndarray, y: np.ndarray) -> Rule:
         p0, n0 = int(y[rows].sum()), int((~y[rows]).sum())
         best = (1e-6, None)
         for i, f in enumerate(FEATURES):
-            cuts = np.unique(np.quantile(x[rows, i], np.linspace(0, 1, 65), method="lower"))
+            values = np.unique(np.quantile(x[rows, i], np.linspace(0, 1, 65), method="lower"))
+            cuts = (values[1:] + values[:-1]) / 2 if len(values) > 1 else values  # half-way, with room on both sides
             under = x[rows, i][:, None] <= cuts
             p, n = under[y[rows]].sum(axis=0), under[~y[rows]].sum(axis=0)
             for sign, a, b in (("<=", p, n), (">", p0 - p, n0 - n)):

@@ -14,6 +14,7 @@ Large groups meet in aggregates and in joins that Spark can split; no group is g
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix, signed, span_hash, window_minima, written
+from .common import mix, prefix, remove_folder, signed, span_hash, window_minima, written
 
 #: Windows that are worked on at a time, so that memory doesn't grow with a document.
 CHUNK = 1 << 19
+#: Anchors with more contexts than this have their windows compared by hash one by one, in groups that Spark spreads.
+HOT = 256
 
 
 @dataclass(frozen=True)
@@ -101,79 +104,109 @@ def repeated(docs: DataFrame, kind: Kind, others: bool, sorter=None) -> DataFram
     """(doc_id, t, s, n): windows s to s + n - 1 of that row repeat.
 
     ``others``: only if the window also starts in a document with a smaller doc_id; else if it starts
-    anywhere else at all. ``sorter`` (bytes only) puts the windows of one batch in order and tells which are
-    equal, so that they go on as one row for each document; see ``suffix_dedup``. Documents without a doc_id neither give nor take windows.
+    anywhere else at all. ``sorter`` (bytes only) puts the suffixes of an anchor's contexts in order and tells which
+    windows are equal; see ``suffix_dedup``. Documents without a doc_id neither give nor take windows.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "t")
-    found = written(docs.mapInArrow(_anchor_rows(kind), "doc_id long, t long, s long, n int, h long, c long"), "all")
-    per = found.groupBy("h").agg(F.count("*").alias("k"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    per = per.filter("low < high" if others else "k > 1").select("h", (F.col("c0") < F.col("c1")).alias("several"))
+    all_ = written(docs.mapInArrow(_anchor_rows(kind), "doc_id long, t long, s long, n int, h long, c long"), "all")
+    per = all_.groupBy("h").agg(*([F.min("doc_id").alias("low"), F.max("doc_id").alias("high")] if others else [F.count("*").alias("k")]))
     # Written and read again, a side of a join is shuffled for that join alone, and AQE can split a hot key.
-    found = written(found.join(written(per, "anchors"), "h"), "found")
-    same = found.groupBy("h", "c").agg(F.count("*").alias("k"), F.min("doc_id").alias("own"), F.min(F.struct("doc_id", "t", "s")).alias("one"))
-    found = found.join(written(same, "contexts"), ["h", "c"])
+    per = written(per.filter("low < high" if others else "k > 1").select("h"), "anchors")
+    found = written(all_.join(per, "h"), "found")
+    remove_folder(spark, folder_of(all_))
+    same = written(found.groupBy("h", "c").agg(F.count("*").alias("k"), F.min("doc_id").alias("own"), F.min(F.struct("doc_id", "t", "s")).alias("one")), "contexts")
+    several = written(same.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "several")
+    same = written(same.join(several, "h", "left"), "contexts")
+    found = found.join(same, ["h", "c"])
     whole = found.filter("k > 1 AND doc_id > own" if others else "k > 1").select("doc_id", "t", "s", "n")
-    wide = found.filter("several AND struct(doc_id, t, s) = one").groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n", "h", "k")).alias("spans"))
-    listed = docs.join(wide, ["doc_id", "t"]).mapInArrow(_window_rows(kind, sorter), "h long, w long, k long, doc_id long, t long, s array<long>")
+    open_ = found.filter("contexts > 1 AND struct(doc_id, t, s) = one").withColumn("hot", F.lit(sorter is None) | (F.col("contexts") > HOT))
+    wide = open_.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n", "h", "k", "hot")).alias("spans"))
+    listed = docs.join(wide, ["doc_id", "t"]).mapInArrow(_window_rows(kind), "h long, w long, k long, doc_id long, t long, s long, n long, context binary")
     listed = written(listed, "windows")
+    one = listed.filter("context IS NULL").drop("context")  # single windows
     if others:
-        owners = listed.groupBy("h", "w").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("high")).filter("own < high")
-        hit = listed.join(written(owners.drop("high"), "owners"), ["h", "w"]).filter("doc_id > own")
+        owners = one.groupBy("h", "w").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("high")).filter("own < high")
+        hit = one.join(written(owners.drop("high"), "owners"), ["h", "w"]).filter("doc_id > own")
     else:
-        twice = listed.groupBy("h", "w").agg(F.sum("k").alias("all")).filter("all > 1").select("h", "w")
-        hit = listed.join(written(twice, "twice"), ["h", "w"])
-    # Windows of a context that stands more often are among the whole ones already; to hold them here again is harmless.
-    hit = hit.select("doc_id", "t", F.explode("s").alias("s"), F.lit(1).alias("n"))
-    return whole.unionByName(hit)
-
-
-def _window_rows(kind: Kind, sorter):
-    schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("k", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("s", pa.list_(pa.int64()))])
-
-    def batch_of(h, w, k, doc, t, s, ends=None) -> pa.RecordBatch:
-        ends = np.arange(len(w) + 1) if ends is None else ends
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s))
-        return pa.RecordBatch.from_arrays([*map(pa.array, (h, w, k, doc, t)), lists], schema=schema)
-
-    def merged(data: list[bytes], rows: list[list[np.ndarray]]) -> pa.RecordBatch:
-        """Equal strings as one row for each document in which they stand, with the sum of all k in one of them."""
-        at, h, w, k, doc, t, s = (np.concatenate(x) for x in zip(*rows))
-        sizes = np.array([len(r[0]) for r in rows])
-        at = at + np.repeat(np.cumsum([0, *map(len, data[:-1])]), sizes)
-        c = sorter(np.frombuffer(b"".join(data), np.uint8), at, kind.window).classes()
-        order = np.lexsort((s, t, doc, c))
-        h, w, k, doc, t, s, c = (x[order] for x in (h, w, k, doc, t, s, c))
-        one = np.r_[True, c[1:] != c[:-1]]
-        new = np.flatnonzero(one | np.r_[True, (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])])
-        total = np.add.reduceat(k, np.flatnonzero(one))
-        k = np.where(one[new], total[np.cumsum(one)[new] - 1], 0)
-        return batch_of(h[new], w[new], k, doc[new], t[new], s, np.r_[new, len(s)])
+        twice = one.groupBy("h", "w").agg(F.sum("k").alias("all")).filter("all > 1").select("h", "w")
+        hit = one.join(written(twice, "twice"), ["h", "w"])
+    out = whole.unionByName(hit.select("doc_id", "t", "s", "n"))
+    if sorter is not None:
+        few = listed.filter("context IS NOT NULL").drop("w").repartition("h").sortWithinPartitions("h")
+        out = out.unionByName(few.mapInArrow(_sorted_rows(kind, sorter), "doc_id long, t long, s long, n long"))
+    return out
+
+
+def folder_of(df: DataFrame) -> str:
+    return os.path.dirname(df.inputFiles()[0]) if df.inputFiles() else ""
+
+
+def _window_rows(kind: Kind):
+    """Windows of hot anchors one by one, and contexts of all others as they are."""
+    schema = pa.schema([(c, pa.int64()) for c in ("h", "w", "k", "doc_id", "t", "s", "n")] + [("context", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, held, size = [], [], 0
             for doc, text, t, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch["t"].to_pylist(), batch["spans"].to_pylist()):
                 raw = encoded(text)
+                some = [r for r in spans if not r["hot"]]
+                if some:
+                    contexts = [raw[r["s"] : r["s"] + r["n"] + kind.window - 1] for r in some]
+                    s, n, h, k = ([r[c] for r in some] for c in ("s", "n", "h", "k"))
+                    same = lambda v: [v] * len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((h, same(None), k, same(doc), same(t), s, n, contexts), schema)], schema=schema)
+                spans = sorted((r for r in spans if r["hot"]), key=lambda r: r["s"])
+                if not spans:
+                    continue
                 x, _ = kind.units([raw])
-                spans.sort(key=lambda r: r["s"])
                 for some in _portions(spans):
                     s, n, h, k = (np.array([r[c] for r in some], np.int64) for c in ("s", "n", "h", "k"))
                     base, end = s[0], (s + n).max() + kind.window - 1
                     p = prefix(x[base:end])
                     at = np.repeat(s - base, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     w = signed(span_hash(p, at, at + kind.window))
-                    out = [np.repeat(h, n), w, np.repeat(k, n), np.full(len(w), doc), np.full(len(w), t), at + base]
-                    if not sorter:
-                        yield batch_of(*out)
-                        continue
-                    data.append(raw[base:end])
-                    held.append([at, *out])
-                    size += len(w) + len(data[-1])
-                    if size > CHUNK:
-                        yield merged(data, held)
-                        data, held, size = [], [], 0
-            if held:
-                yield merged(data, held)
+                    m = len(w)
+                    out = [np.repeat(h, n), w, np.repeat(k, n), np.full(m, doc), np.full(m, t), at + base, np.ones(m, np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.nulls(m, pa.binary())], schema=schema)
+
+    return rows
+
+
+def _sorted_rows(kind: Kind, sorter):
+    """From contexts sorted by anchor: runs of windows that stand in the contexts of one anchor more than once."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "t", "s", "n")])
+
+    def runs(held: list[tuple]) -> pa.RecordBatch:
+        h, k, doc, t, s, n, raw = zip(*held)
+        n = np.array(n, np.int64)
+        begin = np.cumsum([0, *map(len, raw[:-1])])
+        at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        c = sorter(np.frombuffer(b"".join(raw), np.uint8), at, kind.window).classes()
+        total = np.bincount(c, weights=np.repeat(np.array(k, np.float64), n))
+        hit = total[c] > 1
+        row = np.repeat(np.arange(len(n)), n)
+        place = at - np.repeat(begin, n)
+        i = np.flatnonzero(hit)
+        new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (row[i[1:]] != row[i[:-1]])]) if len(i) else i
+        first = i[new]
+        size = np.diff(np.r_[new, len(i)])
+        cols = [np.array(doc)[row[first]], np.array(t)[row[first]], np.array(s)[row[first]] + place[first], size]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], schema=schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, last = 0, None
+        for batch in batches:
+            for r in zip(*(batch[c].to_pylist() for c in ("h", "k", "doc_id", "t", "s", "n", "context"))):
+                if r[0] != last and size > CHUNK // 2:  # a group of at most HOT contexts is never cut
+                    yield runs(held)
+                    held, size = [], 0
+                held.append(r)
+                size += r[5]
+                last = r[0]
+        if held:
+            yield runs(held)
 
     return rows
 

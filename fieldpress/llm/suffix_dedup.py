@@ -2,11 +2,12 @@
 
 Every 200-byte string that starts twice, in one document or in two, is removed wherever it stands. A suffix
 array over all bytes can't be sorted by a cluster without shuffling many times the corpus, so the sort is
-sparse: ``repeats`` leaves the suffixes whose anchors stand more than once. Those of one batch are put into
-suffix order by a mergesort whose comparisons find the common extension of two suffixes by binary search over
-prefix polynomial hashes (8 steps for 200 bytes). Neighbours whose extension reaches 200 bytes are compared
-byte by byte, so that a hash collision can't join them. Each distinct string of a batch then goes on as one row;
-strings of different batches meet by 128 bits of hash.
+sparse and in buckets: ``repeats`` leaves the suffixes whose anchor (the smallest 64-byte run of each string)
+stands more than once, and brings the contexts of one anchor together. A bucket's suffixes are put in order by a
+mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial
+hashes (8 steps for 200 bytes). Neighbours whose extension reaches 200 bytes are compared byte by byte, so that
+no hash collision joins them. Anchors with more than ``repeats.HOT`` contexts aren't gathered: their strings are counted
+by 128 bits of hash, pre-aggregated.
 
 Defined cases: a null or empty text has no bytes; texts of under 200 bytes lose nothing; rows without a doc_id
 neither give nor take strings; equal rows repeat each other; every input row gives one output row. The kept
