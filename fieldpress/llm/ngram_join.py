@@ -134,23 +134,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], schema=schema)
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def trie_join(sets: list[np.ndarray], num: int, den: int, side: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect all sets that are connected by similarity >= num / den.
 
@@ -176,18 +159,32 @@ def trie_join(sets: list[np.ndarray], num: int, den: int, side: list[int] | None
         differ = np.flatnonzero(a[:k] != b[:k])
         common[i] = int(differ[0]) if len(differ) else k
     index: dict[int, list[int]] = {}
-    union, links = _Union(len(leaves)), []
+    links: list[tuple[int, int]] = []
+    label, seen = np.arange(len(leaves)), np.zeros(len(leaves), bool)
     inside = np.zeros(len(grams) + 1, bool)
-    lcp = np.array(common)
+    lcp, sizes = np.array(common), np.array(n)
+    # How many n-grams of each of 64 buckets a leaf has: the sum of minima bounds any overlap, before a path is walked.
+    buckets = np.zeros((len(leaves), 64), np.int16)
+    for i, s in enumerate(leaves):
+        buckets[i] = np.minimum(np.bincount(s & 63, minlength=64), 32767)
     for x, head in enumerate(heads):
         if head:
-            found = np.unique(np.concatenate([np.array(index.get(t, ()), np.int64) for t in head]))
-            nx = n[x]
+            seen[[y for t in head for y in index.get(t, ())]] = True
+            found = np.flatnonzero(seen[:x])
+            seen[:x] = False
+            nx, ny = n[x], sizes[found]
+            found = found[num * np.maximum(nx, ny) <= den * np.minimum(nx, ny)]
+            for some in np.split(found, np.arange(1 << 14, len(found), 1 << 14)):
+                bound = np.minimum(buckets[some], buckets[x]).sum(axis=1, dtype=np.int64)
+                near = bound >= -(-num * (nx + sizes[some]) // (num + den))
+                seen[some[near & (label[some] != label[x])]] = True
+            found = np.flatnonzero(seen[:x])
+            seen[:x] = False
             inside[leaves[x]] = True
             path, depth_from = None, -1  # overlaps along the path of the leaf walked last
             for y in found.tolist():
                 ny = n[y]
-                if num * max(nx, ny) > den * min(nx, ny) or union.find(x) == union.find(y) or side and side[order[x]] == side[order[y]]:
+                if label[x] == label[y] or side and side[order[x]] == side[order[y]]:
                     continue
                 need = -(-num * (nx + ny) // (num + den))
                 keep = int(lcp[depth_from + 1 : y + 1].min()) if path is not None else 0
@@ -197,7 +194,8 @@ def trie_join(sets: list[np.ndarray], num: int, den: int, side: list[int] | None
                 rest = np.cumsum(inside[leaves[y][keep:]]) + (path[keep] if keep else 0)
                 path = np.r_[path[: keep + 1], rest] if keep else np.r_[0, rest]
                 depth_from = y
-                if path[-1] >= need and union.join(x, y):
+                if path[-1] >= need:
+                    label[label == label[x]] = label[y]
                     links.append((order[y], order[x]))
             inside[leaves[x]] = False
             for t in head:
@@ -208,7 +206,7 @@ def trie_join(sets: list[np.ndarray], num: int, den: int, side: list[int] | None
 def _family(n: int, num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(table: pa.Table) -> pa.Table:
+    def links(table):
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         doc = table["doc_id"].to_pylist()
         sets = [shingles(x.as_py(), n) for x in table["text"]]
