@@ -27,8 +27,9 @@ from .common import mix, prefix, remove_folder, signed, span_hash, window_minima
 
 #: Windows that are worked on at a time, so that memory doesn't grow with a document.
 CHUNK = 1 << 19
-#: Anchors with more contexts than this have their windows compared by hash one by one, in groups that Spark spreads.
-HOT = 256
+#: Anchors with more contexts than this (about 1.4 MB of 200-byte strings) aren't gathered in one task: their windows are
+#: compared by hash one by one, in groups that Spark spreads.
+HOT = 4096
 
 
 @dataclass(frozen=True)
