@@ -19,6 +19,8 @@ are one document; equal rows each give a row; other columns of the input are not
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,15 @@ from .components import connected_components
 
 #: Shingles of one block of a family; a task holds two blocks at most.
 BLOCK = 1_000_000
+#: Sets that a task remembers, so as not to send copies again.
+SEEN = 100_000
+
+
+def _release() -> None:
+    """Gives freed memory back to the system: a worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -106,13 +117,15 @@ def _signature_rows(n: int, num: int, den: int):
                 s = shingles(x.as_py(), n)
                 if doc is None or not len(s) or (key := set_hash(s)) in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < SEEN:
                     seen.add(key)
                 parts.append(signatures(s, num, den))
                 ids.append(doc)
             if parts:
                 doc = np.repeat(np.array(ids, np.int64), [len(p) for p in parts])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(parts))), pa.array(doc)], schema=schema)
+        del seen
+        _release()
 
     return rows
 
@@ -211,6 +224,9 @@ def _family(n: int, num: int, den: int):
         doc = table["doc_id"].to_pylist()
         sets = [shingles(x.as_py(), n) for x in table["text"]]
         found = trie_join(sets, num, den, None if i == j else table["block"].to_pylist())
+        if len(sets) > 100:
+            del sets
+            _release()
         return pa.table([pa.array([doc[x] for x, _ in found], pa.int64()), pa.array([doc[y] for _, y in found], pa.int64())], schema=schema)
 
     return links
