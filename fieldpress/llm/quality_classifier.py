@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import written
 
-SAMPLE, SAMPLE_BYTES = 4_000, 32 << 20
+SAMPLE, SAMPLE_BYTES = 3_000, 16 << 20
 DIM, REACH, VOCABULARY, HIDDEN = 64, 2, 40_000, 32
 THRESHOLD = 0.3
 _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[\x80-\xff]+"), b"u"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^Aau0])\1+"), rb"\1\1")]
