@@ -2,7 +2,8 @@
 
 Random indexing (Kanerva et al., 2000): each term has a sparse random index vector, drawn from its hash; a
 term's context vector is the sum of the index vectors of its neighbours within two words. Terms are words (A-Z lower-cased)
-and their shapes (runs of capitals, small letters, digits; signs as they are), so that unknown words are known by shape.
+and their shapes (runs of capitals, small letters, digits; signs as they are; one of their own for words that repeat the
+one before), so that unknown words are known by shape.
 A document is the mean of its words' and of its shapes' vectors. The network's logits are divided by a temperature
 fitted on rows that it wasn't trained on.
 
@@ -36,6 +37,10 @@ _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z]+"), b"a"), (re.com
 _MIXED = re.compile(rb"[au]+")
 
 
+#: The shape of a word that repeats the one before it.
+SAME = b"\0same"
+
+
 def shape(word: bytes) -> bytes:
     for pattern, to in _RUNS:
         word = pattern.sub(to, word)
@@ -70,7 +75,9 @@ class Model:
         for i, text in enumerate(texts):
             words = text.encode("utf-8", "surrogatepass").split() if text else []
             for at in range(0, len(words), 50_000):
-                both = np.array([*map(places.__getitem__, words[at : at + 50_000])])
+                some = words[at : at + 50_000]
+                both = np.array([*map(places.__getitem__, some)])
+                both[1:, 1][np.fromiter(map(bytes.__eq__, some, some[1:]), bool, len(some) - 1)] = self.rows.get(SAME, 0)
                 out[i, :DIM] += self.vectors[both[:, 0]].sum(axis=0)
                 out[i, DIM:] += self.vectors[both[:, 1]].sum(axis=0)
             out[i] /= max(len(words), 1)
@@ -114,7 +121,7 @@ def word_vectors(texts: list[str]) -> tuple[dict[bytes, int], np.ndarray]:
         for w in words:
             if w not in shapes:
                 shapes[w] = shape(w)
-    rows = {t: i + 1 for i, t in enumerate([*known, *sorted(set(shapes.values()))])}
+    rows = {t: i + 1 for i, t in enumerate([*known, *sorted({SAME, *shapes.values()})])}
     index = np.zeros((len(rows) + 1, DIM), np.float32)
     for term, i in rows.items():
         index[i] = index_vector(term)
@@ -123,6 +130,7 @@ def word_vectors(texts: list[str]) -> tuple[dict[bytes, int], np.ndarray]:
         for at in range(0, len(words), 50_000):
             some = words[at : at + 50_000]
             a, b = (np.array([rows.get(t, 0) for t in terms]) for terms in ((w.lower() for w in some), (shapes[w] for w in some)))
+            b[1:][[x == y for x, y in zip(some, some[1:])]] = rows[SAME]
             around = np.zeros((len(some), DIM), np.float32)
             v = index[b] + index[a]
             for k in range(1, REACH + 1):
