@@ -1,4 +1,4 @@
-"""SQL names: ``field_encode(values, nt, ny, nx, bound)``, ``field_decode(stream)`` and the table function ``stream_cells(stream)``."""
+"""SQL names: ``field_encode(values, nt, ny, nx, bound)``, ``field_decode(stream)`` (missing cells are NULL) and the table function ``stream_cells(stream)``."""
 
 from __future__ import annotations
 
