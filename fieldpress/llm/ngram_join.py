@@ -177,9 +177,9 @@ def trie_join(sets: list[np.ndarray], num: int, den: int, side: list[int] | None
     inside = np.zeros(len(grams) + 1, bool)
     lcp, sizes = np.array(common), np.array(n)
     # How many n-grams of each of 64 buckets a leaf has: the sum of minima bounds any overlap, before a path is walked.
-    buckets = np.zeros((len(leaves), 64), np.int16)
+    buckets = np.zeros((len(leaves), 64), np.int32)
     for i, s in enumerate(leaves):
-        buckets[i] = np.minimum(np.bincount(s & 63, minlength=64), 32767)
+        buckets[i] = np.bincount(s & 63, minlength=64)
     for x, head in enumerate(heads):
         if head:
             seen[[y for t in head for y in index.get(t, ())]] = True

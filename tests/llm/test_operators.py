@@ -340,3 +340,8 @@ def test_classifier(spark, none):
     assert sum((r.score >= 0.5) == (r.doc_id % 3 > 0) for r in apart) >= 0.95 * len(apart)
     assert quality_classifier.classify(none, labels).count() == 0
     assert {r.score for r in quality_classifier.classify(docs.limit(5).union(docs.select("doc_id", F.lit(None))), labels.limit(0)).collect()} == {0.5}
+
+
+def test_very_large_sets_are_joined():
+    s = np.arange(2_300_000, dtype=np.uint64)
+    assert [set(x) for x in ngram_join.trie_join([s[:-5], s[5:]], 90, 100)] == [{0, 1}]
