@@ -7,8 +7,12 @@ one before), so that unknown words are known by shape.
 A document is the mean of its words' and of its shapes' vectors. The network's logits are divided by a temperature
 fitted on rows that it wasn't trained on.
 
-The model is fitted on the driver from at most ``SAMPLE`` labelled documents and ``SAMPLE_BYTES`` of text (those
-with the smallest hashes of doc_id, whole texts). Every document is scored over its whole text. Inputs are words alone.
+Contexts are those of all words of all documents. Tasks sum them up, a shuffle by term adds the sums, and the vectors of
+shapes and of words that stand in more than one text go to all tasks (int8 with a scale per term). A word that stands in one
+text only has its contexts there, so its vector is made from that text where it is needed: no word is left out.
+
+The network alone is fitted on a sample, on the driver: at most ``SAMPLE`` labelled documents and ``SAMPLE_BYTES`` of text
+(those with the smallest hashes of doc_id, whole texts). Every document is scored over its whole text. Inputs are words alone.
 
 Defined cases: a null or empty text has the zero vector and gets the score of that; labels with a null are left out, of
 several the largest counts; without labels every score is 0.5, with one kind it is 0 or 1 smoothed by the sample's size;
@@ -24,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +36,9 @@ from pyspark.sql import types as T
 from .common import written
 
 SAMPLE, SAMPLE_BYTES = 3_000, 16 << 20
-DIM, REACH, VOCABULARY, HIDDEN = 64, 2, 40_000, 32
+DIM, REACH, HIDDEN = 64, 2, 32
+#: Terms of which a task sums up contexts at a time, and words that it takes at once.
+TERMS, CHUNK = 400_000, 16_384
 THRESHOLD = 0.3
 _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[\x80-\xff]+"), b"u"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^Aau0])\1+"), rb"\1\1")]
 _MIXED = re.compile(rb"[au]+")
@@ -47,20 +54,298 @@ def shape(word: bytes) -> bytes:
     return b"\0" + _MIXED.sub(b"a", word)[:16]
 
 
-def index_vector(term: bytes) -> np.ndarray:
+def term_key(term: bytes) -> int:
+    return xxhash.xxh3_128_intdigest(term) & 0xFFFFFFFFFFFFFFFF
+
+
+def index_vectors(keys: np.ndarray) -> np.ndarray:
     """8 of DIM places are +1 or -1, by the term's hash."""
-    out = np.zeros(DIM, np.float32)
-    h = xxhash.xxh3_128_intdigest(term)
-    for _ in range(8):
-        out[(h >> 1) % DIM] += 1 if h & 1 else -1
-        h >>= 8
+    parts = np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)
+    out, at = np.zeros((len(parts), DIM), np.int8), np.arange(len(parts))
+    for part in parts.T:
+        out[at, (part >> 1) % DIM] += 2 * (part & 1).astype(np.int8) - 1
     return out
 
 
+# ---------------------------------------------------------------- contexts of all terms
+class _Contexts(dict):
+    """word -> its number; sums up the contexts of terms until there are TERMS of them. Number 0 and row 0 are the gap between texts."""
+
+    def __init__(self):
+        super().__init__()
+        room = TERMS + 4 * CHUNK + 100
+        self.index, self.context = np.zeros((room, DIM), np.int8), np.zeros((room, DIM), np.int32)
+        self.home, self.many = np.full(room, -1, np.int64), np.zeros(room, bool)
+        self.a, self.b = np.zeros(room, np.int64), np.zeros(room, np.int64)
+        self.keys, self.rows, self.new, self.ready, self.tokens = [0], {}, [], 1, 0
+        self.same = self.row(SAME)
+
+    def row(self, term: bytes) -> int:
+        key = term_key(term)
+        out = self.rows.get(key)
+        if out is None:
+            out = self.rows[key] = len(self.keys)
+            self.keys.append(key)
+            self.many[out] = term[:1] == b"\0"
+        return out
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self) + 1
+        self.new.append((out, self.row(word.lower()), self.row(shape(word))))
+        return out
+
+    def full(self) -> bool:
+        return len(self) > TERMS or len(self.keys) > TERMS or self.tokens > 20_000_000
+
+    def add(self, u: np.ndarray, doc: np.ndarray, low: int, high: int) -> None:
+        """Takes up the tokens from low to high; those around them are context."""
+        if self.new:
+            at, a, b = np.array(self.new).T
+            self.a[at], self.b[at], self.new = a, b, []
+        if self.ready < len(self.keys):
+            self.index[self.ready : len(self.keys)] = index_vectors(np.array(self.keys[self.ready :], np.uint64))
+            self.ready = len(self.keys)
+        a, b = self.a[u], self.b[u]
+        b[1:][(u[1:] == u[:-1]) & (u[1:] > 0)] = self.same
+        own = self.index[b].astype(np.int32)
+        v = own + self.index[a]
+        around = own  # a term's own shape is part of its context
+        for k in range(1, REACH + 1):
+            around[k:] += v[:-k]
+            around[:-k] += v[k:]
+        a, b, doc, around = a[low:high], b[low:high], doc[low:high], around[low:high]
+        np.add.at(self.context.reshape(-1), (a[:, None] * DIM + np.arange(DIM)).ravel(), around.ravel())
+        order = np.argsort(b, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0])
+        for i, j in zip(start, [*start[1:], len(order)]):
+            self.context[b[order[i]]] += around[order[i:j]].sum(axis=0, dtype=np.int32)
+        fresh = self.home[a] < 0
+        self.home[a[fresh]] = doc[fresh]
+        self.many[a[self.home[a] != doc]] = True
+        self.tokens += high - low
+
+    def sums(self) -> Iterator[pa.RecordBatch]:
+        for at in range(1, len(self.keys), 10_000):
+            some = slice(at, min(at + 10_000, len(self.keys)))
+            vectors = packed(self.context[some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(self.keys[some], np.uint64).view(np.int64)), vectors, pa.array(self.many[some])], names=["term", "sums", "many"])
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows of integers with 4, 8 or 32 bits a number, whichever holds the row."""
+    most = np.abs(x).max(axis=1, initial=0)
+    width = np.where(most < 8, DIM // 2, np.where(most < 128, DIM, 4 * DIM))
+    ends = np.r_[0, np.cumsum(width)]
+    out = np.zeros(ends[-1], np.uint8)
+    for w in (DIM // 2, DIM, 4 * DIM):
+        y = x[width == w]
+        y = (y[:, ::2] & 15 | (y[:, 1::2] & 15) << 4).astype(np.uint8) if w < DIM else y.astype(np.int8 if w == DIM else "<i4").view(np.uint8)
+        out[ends[:-1][width == w][:, None] + np.arange(w)] = y
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(values: pa.Array) -> np.ndarray:
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data, width, out = np.frombuffer(values.buffers()[2] or b"", np.uint8), np.diff(ends), np.zeros((len(values), DIM), np.int64)
+    for w in (DIM // 2, DIM, 4 * DIM):
+        y = data[ends[:-1][width == w][:, None] + np.arange(w)]
+        y = np.stack([y & 15, y >> 4], axis=2).reshape(-1, DIM).astype(np.int64) if w < DIM else y.view(np.int8 if w == DIM else "<i4")
+        out[width == w] = (y ^ 8) - 8 if w < DIM else y
+    return out
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, sums, many) of a task's texts: many is set where more than one of them has the term, and for shapes."""
+    found, gap, doc = _Contexts(), np.zeros(REACH, np.int64), 0
+    parts, n = [], 0
+
+    def take() -> None:
+        nonlocal parts, n
+        if parts:
+            u = np.concatenate([gap, *(x for p, _ in parts for x in (p, gap))])
+            home = np.repeat(np.array([0, *(d for _, d in parts)]), [REACH, *(len(p) + REACH for p, _ in parts)])
+            at = np.flatnonzero(u)
+            found.add(u, home, int(at[0]), int(at[-1]) + 1)
+            # what stands in row 0 is the gaps' and is never sent
+        parts, n = [], 0
+
+    for batch in batches:
+        for x in batch["text"]:
+            text, doc = x.as_py(), doc + 1
+            words = text.encode("utf-8", "surrogatepass").split() if text else []
+            if len(words) <= CHUNK:
+                if words:
+                    parts.append((np.fromiter(map(found.__getitem__, words), np.int64, len(words)), doc))
+                    n += len(words)
+                if n >= CHUNK:
+                    take()
+            else:
+                take()
+                for at in range(0, len(words), CHUNK):
+                    begin = max(at - REACH - 1, 0)
+                    some = words[begin : at + CHUNK + REACH]
+                    u = np.fromiter(map(found.__getitem__, some), np.int64, len(some))
+                    found.add(u, np.full(len(u), doc), at - begin, min(at + CHUNK, len(words)) - begin)
+                    if found.full():
+                        yield from found.sums()
+                        found = _Contexts()
+            if not parts and found.full():
+                yield from found.sums()
+                found = _Contexts()
+    take()
+    yield from found.sums()
+
+
+BLOBS = "n long, total binary, keys binary, vectors binary"
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by term: number and sum of the contexts (of length 1) of terms, and those of terms of many texts."""
+    keys, sums, many = np.empty(0, np.int64), np.empty((0, DIM), np.int64), np.empty(0, bool)
+
+    def blob(keys: np.ndarray, sums: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        v = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
+        row = len(keys), v.sum(axis=0).tobytes(), keys[many].tobytes(), v[many].astype(np.float16).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["n", "total", "keys", "vectors"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.r_[keys, batch["term"].to_numpy()]
+        sums = np.concatenate([sums, unpacked(batch["sums"])])
+        many = np.r_[many, batch["many"].to_numpy(zero_copy_only=False)]
+        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        many = np.logical_or.reduceat(many, start) | (np.diff(np.r_[start, len(keys)]) > 1)
+        keys, sums = keys[start], np.add.reduceat(sums, start, axis=0)
+        if len(keys) > 1:  # the last term may go on in the next batch
+            yield blob(keys[:-1], sums[:-1], many[:-1])
+        keys, sums, many = keys[-1:], sums[-1:], many[-1:]
+    if len(keys):
+        yield blob(keys, sums, many)
+
+
+@dataclass
+class Vectors:
+    """Contexts of shapes and of words that stand in more than one text, less the mean of all terms' contexts."""
+
+    keys: np.ndarray  # sorted
+    rows: np.ndarray  # of numbers, for each key
+    numbers: np.ndarray  # int8
+    scale: np.ndarray
+    mean: np.ndarray
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, whether each is known); zero where not."""
+        out, known = np.zeros((len(keys), DIM), np.float32), np.zeros(len(keys), bool)
+        if len(self.keys):
+            at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
+            known = self.keys[at] == keys
+            row = self.rows[at[known]]
+            out[known] = self.numbers[row] * self.scale[row, None]
+        return out, known
+
+
+def no_vectors() -> Vectors:
+    return Vectors(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty((0, DIM), np.int8), np.empty(0, np.float32), np.zeros(DIM))
+
+
+def word_vectors(docs: DataFrame) -> Vectors:
+    """Context vectors of the terms of all documents: summed up per task, then by term."""
+    sums = docs.select("text").mapInArrow(_partial, "term long, sums binary, many boolean")
+    blobs = written(sums.repartition("term").sortWithinPartitions("term").mapInArrow(_blobs, BLOBS), "contexts")
+    size = blobs.select("n", "total", (F.octet_length("keys") / 8).cast("long").alias("k")).collect()
+    if not size:
+        return no_vectors()
+    # The shared direction of all contexts says nothing; what is left is what tells terms apart.
+    mean = np.sum(sorted(np.frombuffer(r["total"]).tolist() for r in size), axis=0) / sum(r["n"] for r in size)
+    n = sum(r["k"] for r in size)
+    keys, numbers, scale, at = np.empty(n, np.uint64), np.empty((n, DIM), np.int8), np.empty(n, np.float32), 0
+    for r in blobs.select("keys", "vectors").toLocalIterator():
+        k = np.frombuffer(r["keys"], np.uint64)
+        v = np.frombuffer(r["vectors"], np.float16).reshape(-1, DIM).astype(np.float64) - mean
+        some, at = slice(at, at + len(k)), at + len(k)
+        keys[some], scale[some] = k, np.maximum(np.abs(v).max(axis=1, initial=0), 1e-9) / 127
+        numbers[some] = np.rint(v / scale[some, None])
+    rows = np.argsort(keys)
+    return Vectors(keys[rows], rows.astype(np.int32), numbers, scale, mean)
+
+
+# ---------------------------------------------------------------- a text's vector
+class _Pool(dict):
+    """word -> its number in this task. A word that isn't among the vectors stands in one text: its context is taken from there."""
+
+    def __init__(self, vectors: Vectors):
+        super().__init__()
+        self.vectors = vectors
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new, self.shapes = [], {SAME: 0}
+        self.word, self.shape, self.known = np.empty((0, DIM), np.float32), np.empty(0, np.int64), np.empty(0, bool)
+        self.key, self.shape_key, self.of_shape, self.size = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty((0, DIM), np.float32), 0
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self)
+        self.new.append((term_key(word.lower()), self.shapes.setdefault(shape(word), len(self.shapes))))
+        return out
+
+    def settle(self) -> None:
+        n = self.size + len(self.new)
+        if n > len(self.key):
+            for name in ("word", "shape", "known", "key"):
+                old = getattr(self, name)
+                grown = np.zeros((max(2 * n, 4096), *old.shape[1:]), old.dtype)
+                grown[: len(old)] = old
+                setattr(self, name, grown)
+        if self.new:
+            some = slice(self.size, n)
+            self.key[some], self.shape[some] = np.array([k for k, _ in self.new], np.uint64), [s for _, s in self.new]
+            self.word[some], self.known[some] = self.vectors.get(self.key[some])
+            self.new, self.size = [], n
+        if len(self.shapes) > len(self.shape_key):
+            more = np.array([term_key(s) for s in list(self.shapes)[len(self.shape_key) :]], np.uint64)
+            self.shape_key = np.r_[self.shape_key, more]
+            self.of_shape = np.concatenate([self.of_shape, self.vectors.get(more)[0]])
+
+    def pooled(self, text: str | None) -> np.ndarray:
+        if len(self) > 200_000:
+            self.forget()
+        out = np.zeros(2 * DIM, np.float32)
+        words = text.encode("utf-8", "surrogatepass").split() if text else []
+        if not words:
+            return out
+        u = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.settle()
+        b = self.shape[u]
+        b[1:][u[1:] == u[:-1]] = 0
+        for at in range(0, len(u), 50_000):
+            out[:DIM] += self.word[u[at : at + 50_000]].sum(axis=0)
+        out[DIM:] = np.bincount(b, minlength=len(self.of_shape)) @ self.of_shape
+        if len(own := np.flatnonzero(~self.known[u])):
+            out[:DIM] += self.local(u, b, own)
+        return out / len(words)
+
+    def local(self, u: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of the words at the places ``own``, by their contexts in this text alone."""
+        terms, of, count = np.unique(self.key[u[own]], return_inverse=True, return_counts=True)
+        context = np.zeros((len(terms), DIM), np.int32)
+        for at in range(0, len(own), 20_000):
+            p = own[at : at + 20_000]
+            around = index_vectors(self.shape_key[b[p]]).astype(np.int32)
+            for k in (*range(-REACH, 0), *range(1, REACH + 1)):
+                there = (p + k >= 0) & (p + k < len(u))
+                q = p[there] + k
+                around[there] += index_vectors(self.key[u[q]]).astype(np.int32) + index_vectors(self.shape_key[b[q]])
+            np.add.at(context, of[at : at + 20_000], around)
+        v = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6) - self.vectors.mean
+        return count @ v
+
+
+# ---------------------------------------------------------------- the network
 @dataclass
 class Model:
-    rows: dict[bytes, int]  # term -> row of vectors
-    vectors: np.ndarray
+    vectors: Broadcast  # of Vectors
     centre: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -69,92 +354,22 @@ class Model:
     b2: float
     temperature: float
 
-    def pooled(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), 2 * DIM), np.float32)
-        places = _Places(self)
-        for i, text in enumerate(texts):
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            for at in range(0, len(words), 50_000):
-                some = words[at : at + 50_000]
-                both = np.array([*map(places.__getitem__, some)])
-                both[1:, 1][np.fromiter(map(bytes.__eq__, some, some[1:]), bool, len(some) - 1)] = self.rows.get(SAME, 0)
-                out[i, :DIM] += self.vectors[both[:, 0]].sum(axis=0)
-                out[i, DIM:] += self.vectors[both[:, 1]].sum(axis=0)
-            out[i] /= max(len(words), 1)
-        return out
-
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.centre) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, x: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (1 / (1 + np.exp(-self.logits(self.pooled(texts)).astype(np.float64) / self.temperature))).clip(0, 1)
-
-
-class _Places(dict):
-    """word -> (row of the word, row of its shape); row 0 is the zero vector."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.rows = model.rows
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 300_000:
-            self.clear()
-        out = self[word] = self.rows.get(word.lower(), 0), self.rows.get(shape(word), 0)
-        return out
+            return (1 / (1 + np.exp(-self.logits(x).astype(np.float64) / self.temperature))).clip(0, 1)
 
 
-def word_vectors(texts: list[str]) -> tuple[dict[bytes, int], np.ndarray]:
-    """Context vectors, of length 1, of the VOCABULARY most frequent words and of all shapes."""
-    counts: dict[bytes, int] = {}
-    docs = []
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").split()
-        docs.append(words)
-        for w in words:
-            w = w.lower()
-            counts[w] = counts.get(w, 0) + 1
-    known = sorted((w for w in counts if counts[w] > 2), key=lambda w: (-counts[w], w))[:VOCABULARY]
-    shapes: dict[bytes, bytes] = {}
-    for words in docs:
-        for w in words:
-            if w not in shapes:
-                shapes[w] = shape(w)
-    rows = {t: i + 1 for i, t in enumerate([*known, *sorted({SAME, *shapes.values()})])}
-    index = np.zeros((len(rows) + 1, DIM), np.float32)
-    for term, i in rows.items():
-        index[i] = index_vector(term)
-    context = np.zeros_like(index)
-    for words in docs:
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            a, b = (np.array([rows.get(t, 0) for t in terms]) for terms in ((w.lower() for w in some), (shapes[w] for w in some)))
-            b[1:][[x == y for x, y in zip(some, some[1:])]] = rows[SAME]
-            around = np.zeros((len(some), DIM), np.float32)
-            v = index[b] + index[a]
-            for k in range(1, REACH + 1):
-                around[k:] += v[:-k]
-                around[:-k] += v[k:]
-            around += index[b]  # a term's own shape is part of its context
-            np.add.at(context, a, around)
-            np.add.at(context, b, around)
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-    # The shared direction of all contexts says nothing; what is left is what tells terms apart.
-    context[1:] -= context[1:].mean(axis=0)
-    context[0] = 0
-    return rows, context
-
-
-def fit(texts: list[str], labels: list[int], seed: int = 17) -> Model:
+def fit(x: np.ndarray, labels: list[int], vectors: Broadcast, seed: int = 17) -> Model:
+    """``x``: the pooled vectors of the labelled documents."""
     y = np.array(labels, np.float64)
-    rows, vectors = word_vectors(texts) if texts else ({}, np.zeros((1, DIM), np.float32))
     zero = np.zeros(2 * DIM)
-    model = Model(rows, vectors, zero, zero + 1, np.zeros((2 * DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
+    model = Model(vectors, zero, zero + 1, np.zeros((2 * DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
     if not len(y) or y.min() == y.max():
         model.b2 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return model
-    x = model.pooled(texts).astype(np.float64)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     apart, train = order[: len(y) // 5], order[len(y) // 5 :]
@@ -185,32 +400,45 @@ def fit(texts: list[str], labels: list[int], seed: int = 17) -> Model:
 
 # ---------------------------------------------------------------- documents
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, quality) of the bounded sample."""
+    """(text, quality, place) of the bounded sample."""
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = written(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")  # at most ``sample`` rows
     rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = written(rows, "sample")
     before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")))
     kept = rows.select("doc_id", "text", "quality", before.alias("bytes")).filter(F.col("bytes") <= most_bytes)
-    return kept.orderBy("bytes").limit(2 * sample).select("text", "quality")
+    return kept.orderBy("bytes").limit(2 * sample).select("text", "quality", F.col("bytes").alias("place"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels).collect()
-    return fit([r["text"] for r in rows], [int(r["quality"] > 0) for r in rows])
+    rows = written(training_rows(docs, labels), "training")
+    kinds = [r["kind"] for r in rows.select((F.col("quality") > 0).alias("kind")).distinct().collect()]
+    # Without labels of both kinds no score depends on a vector.
+    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs) if len(kinds) > 1 else no_vectors())
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = _Pool(shared.value)
+        for batch in batches:
+            x = [pool.pooled(t.as_py()).tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch["place"], batch["quality"]], names=["x", "place", "quality"])
+
+    rows = rows.select("text", "place", F.col("quality").cast("int").alias("quality"))
+    found = sorted(rows.mapInArrow(pooled, "x binary, place long, quality int").collect(), key=lambda r: (r["place"], r["x"]))
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found], np.float64).reshape(-1, 2 * DIM)
+    return fit(x, [int(r["quality"] > 0) for r in found], shared)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a score between 0 and 1: higher where label 1 is likelier."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and the sample's shapes
+    """docs with a score between 0 and 1: higher where label 1 is likelier. Words' contexts are those of the documents of ``train``."""
     names = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = _Pool(model.vectors.value)
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 500):
                 some = batch.slice(at, 500)
-                scores = shared.value.scores(some["text"].to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores, pa.float64())], names=[*names, column])
+                x = np.array([pool.pooled(t.as_py()) for t in some["text"]], np.float32).reshape(-1, 2 * DIM)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(model.scores(x), pa.float64())], names=[*names, column])
 
     return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 

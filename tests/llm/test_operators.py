@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,71 @@ def test_classifier(spark, none):
     assert {r.score for r in quality_classifier.classify(docs.limit(5).union(docs.select("doc_id", F.lit(None))), labels.limit(0)).collect()} == {0.5}
 
 
+def contexts_by_plain_loops(texts):
+    """term -> context of length 1 less the mean of all."""
+    qc, sums = quality_classifier, {}
+
+    def index(term):
+        out, h = np.zeros(qc.DIM), qc.term_key(term)
+        for k in range(8):
+            out[(h >> 8 * k + 1) % qc.DIM] += 1 if h >> 8 * k & 1 else -1
+        return out
+
+    for t in texts:
+        words = (t or "").encode().split()
+        terms = [(w.lower(), qc.SAME if i and words[i - 1] == w else qc.shape(w)) for i, w in enumerate(words)]
+        for i, (a, b) in enumerate(terms):
+            around = index(b) + sum((index(x) + index(y) for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i for x, y in [terms[j]]), np.zeros(qc.DIM))
+            for term in (a, b):
+                sums[term] = sums.get(term, 0) + around
+    found = {k: v / max(np.linalg.norm(v), 1e-6) for k, v in sums.items()}
+    if qc.SAME not in found:
+        found[qc.SAME] = np.zeros(qc.DIM)
+    mean = sum(found.values()) / len(found)
+    return {k: v - mean for k, v in found.items()}
+
+
+def pooled_by_plain_loops(text, vectors):
+    words = (text or "").encode().split()
+    shapes = [quality_classifier.SAME if i and words[i - 1] == w else quality_classifier.shape(w) for i, w in enumerate(words)]
+    n = max(len(words), 1)
+    return np.r_[sum((vectors[w.lower()] for w in words), np.zeros(quality_classifier.DIM)) / n, sum((vectors[s] for s in shapes), np.zeros(quality_classifier.DIM)) / n]
+
+
+def test_contexts_of_all_documents(spark, docs, rows):
+    texts = [t for _, t in rows]
+    expected = contexts_by_plain_loops(texts)
+    pool = quality_classifier._Pool(quality_classifier.word_vectors(docs))
+    for t in texts:
+        assert np.abs(pool.pooled(t) - pooled_by_plain_loops(t, expected)).max() < 0.01, t
+
+
+@pytest.mark.parametrize("terms,chunk", [(40, 64), (400_000, 16), (400_000, 16_384)])
+def test_contexts_in_parts(rows, monkeypatch, terms, chunk):
+    monkeypatch.setattr(quality_classifier, "TERMS", terms)
+    monkeypatch.setattr(quality_classifier, "CHUNK", chunk)
+    texts = [t for _, t in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 5], pa.string())], names=["text"]) for i in range(0, len(texts), 5)]
+    sums = pa.Table.from_batches(quality_classifier._partial(iter(batches))).sort_by("term").combine_chunks()
+    blobs = [r for b in quality_classifier._blobs(iter(sums.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    expected = contexts_by_plain_loops(texts)
+    mean = sum(np.frombuffer(r["total"]) for r in blobs) / sum(r["n"] for r in blobs)
+    got = {int(k): v - mean for r in blobs for k, v in zip(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["vectors"], np.float16).astype(float).reshape(-1, quality_classifier.DIM))}
+    places = {}
+    for i, t in enumerate(texts):
+        for w in (t or "").encode().lower().split():
+            places.setdefault(w, set()).add(i)
+    assert sum(r["n"] for r in blobs) == len(expected)
+    for term, v in expected.items():
+        if term[:1] == b"\0" or len(places[term]) > 1:
+            assert np.abs(got[quality_classifier.term_key(term)] - v).max() < 2e-3, term
+
+
+def test_packed_integers():
+    x = np.array([[7, -7] * 32, [127, -127] * 32, [2**31 - 1, -(2**31) + 1] * 32, [0, 0] * 32], np.int32)
+    assert (quality_classifier.unpacked(quality_classifier.packed(x)) == x).all()
+
+
 def test_very_large_sets_are_joined():
     s = np.arange(2_300_000, dtype=np.uint64)
     assert [set(x) for x in ngram_join.trie_join([s[:-5], s[5:]], 90, 100)] == [{0, 1}]
