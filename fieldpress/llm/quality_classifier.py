@@ -11,11 +11,12 @@ Contexts are those of all words of all documents. Tasks sum them up, a shuffle b
 shapes and of words that stand in more than one text go to all tasks (int8 with a scale per term). A word that stands in one
 text only has its contexts there, so its vector is made from that text where it is needed: no word is left out.
 
-The network alone is fitted on a sample, on the driver: at most ``SAMPLE`` labelled documents and ``SAMPLE_BYTES`` of text
-(those with the smallest hashes of doc_id, whole texts). Every document is scored over its whole text. Inputs are words alone.
+The network alone is fitted on a sample: the ``SAMPLE`` labelled documents with the smallest hashes of doc_id, and the first
+of the other kind where those have one kind of label only. Their whole texts, of any length, are pooled by tasks; the driver
+gets a vector for each. Every document is scored over its whole text. Inputs are words alone.
 
 Defined cases: a null or empty text has the zero vector and gets the score of that; labels with a null are left out, of
-several the largest counts; without labels every score is 0.5, with one kind it is 0 or 1 smoothed by the sample's size;
+several the largest counts, of several texts of a doc_id that with the smallest hash is fitted on; without labels every score is 0.5, with one kind it is 0 or 1 smoothed by the sample's size;
 a null doc_id is scored too and held_out is null; columns besides doc_id and text aren't looked at.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import written
 
-SAMPLE, SAMPLE_BYTES = 3_000, 16 << 20
+SAMPLE = 3_000
 DIM, REACH, HIDDEN = 64, 2, 32
 #: Terms of which a task sums up contexts at a time, and words that it takes at once.
 TERMS, CHUNK = 400_000, 16_384
@@ -399,15 +400,15 @@ def fit(x: np.ndarray, labels: list[int], vectors: Broadcast, seed: int = 17) ->
 
 
 # ---------------------------------------------------------------- documents
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, quality, place) of the bounded sample."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, quality, place) of the bounded sample; where only one kind of label is in it, the first of the other kind is added."""
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = written(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")  # at most ``sample`` rows
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = written(rows, "sample")
-    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")))
-    kept = rows.select("doc_id", "text", "quality", before.alias("bytes")).filter(F.col("bytes") <= most_bytes)
-    return kept.orderBy("bytes").limit(2 * sample).select("text", "quality", F.col("bytes").alias("place"))
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    one = one.join(texts.select("doc_id"), "doc_id", "left_semi")
+    ends = [some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for some, n in ((one, sample), (one.filter("quality > 0"), 1), (one.filter("NOT quality > 0"), 1))]
+    chosen = written(ends[0].union(ends[1]).union(ends[2]).distinct(), "labelled")  # at most ``sample`` rows and one
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return rows.select("text", "quality", F.xxhash64("doc_id").alias("place"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

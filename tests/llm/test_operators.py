@@ -411,3 +411,20 @@ def test_packed_integers():
 def test_very_large_sets_are_joined():
     s = np.arange(2_300_000, dtype=np.uint64)
     assert [set(x) for x in ngram_join.trie_join([s[:-5], s[5:]], 90, 100)] == [{0, 1}]
+
+
+def test_long_labelled_texts_leave_the_classifier_on(spark):
+    docs, labels = labelled(spark)
+    first = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~quality_classifier.held_out()).orderBy(F.xxhash64("doc_id")).first()
+    longer = F.when(F.col("doc_id") == first.doc_id, F.repeat(F.concat("text", F.lit(" ")), (17 << 20) // 400)).otherwise(F.col("text"))
+    got = quality_classifier.classify(docs.withColumn("text", longer), labels).filter(F.col("doc_id") != first.doc_id).collect()
+    apart = [r for r in got if r.held_out]
+    assert sum((r.score >= 0.5) == (r.doc_id % 3 > 0) for r in apart) >= 0.95 * len(apart)
+
+
+def test_sample_has_both_kinds(spark):
+    docs, labels = labelled(spark)
+    one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    for n in (1, 2, 3, 400):
+        found = [r.quality for r in quality_classifier.training_rows(docs, one, n).collect()]
+        assert set(found) == {0, 1} and len(found) <= n + 1
