@@ -39,7 +39,9 @@ from .common import written
 SAMPLE = 3_000
 DIM, REACH, HIDDEN = 64, 2, 32
 #: Terms of which a task sums up contexts at a time, and words that it takes at once.
-TERMS, CHUNK = 400_000, 16_384
+TERMS, CHUNK = 600_000, 16_384
+#: Parts by hash in which terms are dealt out.
+BUCKETS = 1024
 THRESHOLD = 0.3
 _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[\x80-\xff]+"), b"u"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^Aau0])\1+"), rb"\1\1")]
 _MIXED = re.compile(rb"[au]+")
@@ -126,37 +128,44 @@ class _Contexts(dict):
         self.tokens += high - low
 
     def sums(self) -> Iterator[pa.RecordBatch]:
-        for at in range(1, len(self.keys), 10_000):
-            some = slice(at, min(at + 10_000, len(self.keys)))
-            vectors = packed(self.context[some])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(self.keys[some], np.uint64).view(np.int64)), vectors, pa.array(self.many[some])], names=["term", "sums", "many"])
+        """PARTIAL: a row for each bucket of terms, so that a term takes few bytes besides its numbers."""
+        keys = np.array(self.keys[1:], np.uint64)
+        order = np.argsort(keys % BUCKETS, kind="stable")
+        ends = np.searchsorted((keys % BUCKETS)[order], np.arange(BUCKETS + 1))
+        for bucket in np.flatnonzero(np.diff(ends)):
+            some = order[ends[bucket] : ends[bucket + 1]]
+            widths, data = packed(self.context[some + 1])
+            row = int(bucket), keys[some].tobytes(), (widths | self.many[some + 1] << 2).astype(np.uint8).tobytes(), data
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "kinds", "sums"])
 
 
-def packed(x: np.ndarray) -> pa.Array:
-    """Rows of integers with 4, 8 or 32 bits a number, whichever holds the row."""
-    most = np.abs(x).max(axis=1, initial=0)
-    width = np.where(most < 8, DIM // 2, np.where(most < 128, DIM, 4 * DIM))
-    ends = np.r_[0, np.cumsum(width)]
+WIDTHS = np.array([DIM // 2, DIM, 4 * DIM])
+
+
+def packed(x: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Rows of integers with 4, 8 or 32 bits a number, whichever holds the row: places in WIDTHS, and bytes."""
+    most = np.abs(x.astype(np.int64)).max(axis=1, initial=0)
+    kind = (most > 7).astype(np.uint8) + (most > 127)
+    ends = np.r_[0, np.cumsum(WIDTHS[kind])]
     out = np.zeros(ends[-1], np.uint8)
-    for w in (DIM // 2, DIM, 4 * DIM):
-        y = x[width == w]
-        y = (y[:, ::2] & 15 | (y[:, 1::2] & 15) << 4).astype(np.uint8) if w < DIM else y.astype(np.int8 if w == DIM else "<i4").view(np.uint8)
-        out[ends[:-1][width == w][:, None] + np.arange(w)] = y
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
-
-
-def unpacked(values: pa.Array) -> np.ndarray:
-    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
-    data, width, out = np.frombuffer(values.buffers()[2] or b"", np.uint8), np.diff(ends), np.zeros((len(values), DIM), np.int64)
-    for w in (DIM // 2, DIM, 4 * DIM):
-        y = data[ends[:-1][width == w][:, None] + np.arange(w)]
-        y = np.stack([y & 15, y >> 4], axis=2).reshape(-1, DIM).astype(np.int64) if w < DIM else y.view(np.int8 if w == DIM else "<i4")
-        out[width == w] = (y ^ 8) - 8 if w < DIM else y
+    for k, w in enumerate(WIDTHS):
+        y = x[kind == k]
+        y = (y[:, ::2] & 15 | (y[:, 1::2] & 15) << 4).astype(np.uint8) if k == 0 else y.astype(np.int8 if k == 1 else "<i4").view(np.uint8)
+        out[ends[:-1][kind == k][:, None] + np.arange(w)] = y
+    return kind, out.tobytes()
+
+
+def unpacked(kind: np.ndarray, data: bytes) -> np.ndarray:
+    data, ends, out = np.frombuffer(data, np.uint8), np.r_[0, np.cumsum(WIDTHS[kind])], np.zeros((len(kind), DIM), np.int64)
+    for k, w in enumerate(WIDTHS):
+        y = data[ends[:-1][kind == k][:, None] + np.arange(w)]
+        y = np.stack([y & 15, y >> 4], axis=2).reshape(-1, DIM).astype(np.int64) if k == 0 else y.view(np.int8 if k == 1 else "<i4")
+        out[kind == k] = (y ^ 8) - 8 if k == 0 else y
     return out
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, sums, many) of a task's texts: many is set where more than one of them has the term, and for shapes."""
+    """PARTIAL of a task's texts; a term is marked where more than one of them has it, and shapes are."""
     found, gap, doc = _Contexts(), np.zeros(REACH, np.int64), 0
     parts, n = [], 0
 
@@ -197,32 +206,38 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found.sums()
 
 
+PARTIAL = "bucket int, keys binary, kinds binary, sums binary"
 BLOBS = "n long, total binary, keys binary, vectors binary"
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by term: number and sum of the contexts (of length 1) of terms, and those of terms of many texts."""
-    keys, sums, many = np.empty(0, np.int64), np.empty((0, DIM), np.int64), np.empty(0, bool)
-
-    def blob(keys: np.ndarray, sums: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    """From PARTIAL sorted by bucket: number and sum of the contexts (of length 1) of terms, and those of terms of many texts."""
+
+    def blob(rows: list) -> pa.RecordBatch:
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows])
+        kinds = [np.frombuffer(k, np.uint8) for _, k, _ in rows]
+        many = np.concatenate(kinds) > 3
+        terms, of, count = np.unique(keys, return_inverse=True, return_counts=True)
+        sums, at = np.zeros((len(terms), DIM), np.int64), 0
+        for kind, (_, _, data) in zip(kinds, rows):
+            sums[of[at : at + len(kind)]] += unpacked(kind & 3, data)  # a row has a term once
+            at += len(kind)
+        several = count > 1
+        several[of[many]] = True
         v = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
-        row = len(keys), v.sum(axis=0).tobytes(), keys[many].tobytes(), v[many].astype(np.float16).tobytes()
+        row = len(terms), v.sum(axis=0).tobytes(), terms[several].tobytes(), v[several].astype(np.float16).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["n", "total", "keys", "vectors"])
 
+    rows, last = [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.r_[keys, batch["term"].to_numpy()]
-        sums = np.concatenate([sums, unpacked(batch["sums"])])
-        many = np.r_[many, batch["many"].to_numpy(zero_copy_only=False)]
-        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        many = np.logical_or.reduceat(many, start) | (np.diff(np.r_[start, len(keys)]) > 1)
-        keys, sums = keys[start], np.add.reduceat(sums, start, axis=0)
-        if len(keys) > 1:  # the last term may go on in the next batch
-            yield blob(keys[:-1], sums[:-1], many[:-1])
-        keys, sums, many = keys[-1:], sums[-1:], many[-1:]
-    if len(keys):
-        yield blob(keys, sums, many)
+        for bucket, *cells in zip(*(batch[c] for c in ("bucket", "keys", "kinds", "sums"))):
+            if rows and bucket.as_py() != last:
+                yield blob(rows)
+                rows = []
+            last = bucket.as_py()
+            rows.append([c.as_py() for c in cells])
+    if rows:
+        yield blob(rows)
 
 
 @dataclass
@@ -252,8 +267,8 @@ def no_vectors() -> Vectors:
 
 def word_vectors(docs: DataFrame) -> Vectors:
     """Context vectors of the terms of all documents: summed up per task, then by term."""
-    sums = docs.select("text").mapInArrow(_partial, "term long, sums binary, many boolean")
-    blobs = written(sums.repartition("term").sortWithinPartitions("term").mapInArrow(_blobs, BLOBS), "contexts")
+    sums = docs.select("text").mapInArrow(_partial, PARTIAL)
+    blobs = written(sums.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blobs, BLOBS), "contexts")
     size = blobs.select("n", "total", (F.octet_length("keys") / 8).cast("long").alias("k")).collect()
     if not size:
         return no_vectors()
