@@ -285,6 +285,29 @@ def pred_stencil(spark, d):
     return s.groupBy("field_id").agg(F.count("*").alias("n")).join(metrics.entropy(s, ["field_id"], "symbol"), "field_id").drop("field_id")
 
 
+# The same over all days of the grid: what the recursive SQL is too slow for. Tests compare them with the walk.
+@query()
+def scan_symbols_all(spark, d):
+    return codec.scan_cells(_cells(spark, d), BOUND, 24, 32).select("t", "y", "x", "symbol")
+
+
+@query()
+def scan_recon_all(spark, d):
+    return codec.scan_cells(_cells(spark, d), BOUND, 24, 32).select("t", "y", "x", "recon")
+
+
+@query()
+def scan_decode_all(spark, d):
+    cells = codec.decode_streams(codec.encode_cells(_cells(spark, d), BOUND, 24, 32, dtype="float64"))
+    return cells.select("t", "y", "x", "missing", F.when(~F.col("missing"), F.col("value")).alias("value"))
+
+
+@query()
+def pred_stencil_all(spark, d):
+    s = codec.scan_cells(_cells(spark, d), BOUND, 24, 32)
+    return s.groupBy("field_id").agg(F.count("*").alias("n")).join(metrics.entropy(s, ["field_id"], "symbol"), "field_id").drop("field_id")
+
+
 # ---------------------------------------------------------------- accuracy
 ERRORS = "abs(decoded - original)"
 

@@ -12,6 +12,8 @@ from fieldpress.plans import catalog
 from fieldpress.sources import read_npy, synthetic_array, synthetic_wave
 from fieldpress.streaming.profiles import windowed_stats
 
+from .test_kernels import walked
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -85,3 +87,25 @@ def test_sql_names(spark):
     back = spark.sql("SELECT field_decode(s) AS v FROM encoded").first().v
     assert back[1] is None and all(abs(a - b) <= 0.05 for a, b in zip([back[0], *back[2:]], [1, 2, 3]))
     assert spark.sql("SELECT c.* FROM encoded, LATERAL stream_cells(s) c").count() == 4
+
+
+def test_scan_of_all_days(spark):
+    cells = catalog._cells(spark, FOLDER).collect()
+    field = np.full((max(r.t for r in cells) + 1, 24, 32), np.nan)
+    for r in cells:
+        field[r.t, r.y, r.x] = np.nan if r.value is None else r.value
+    missing = np.isnan(field)
+    symbols, state = walked(field, missing, catalog.STEP)
+    places = list(zip(*(i.tolist() for i in np.nonzero(~missing))))
+    run = lambda name: catalog.QUERIES[name](spark, FOLDER).collect()
+    assert len(field) > catalog.SLICE and max(t for t, _, _ in places) >= catalog.SLICE
+    assert {(r.t, r.y, r.x): r.symbol for r in run("scan_symbols_all")} == dict(zip(places, symbols))
+    assert {(r.t, r.y, r.x): r.recon for r in run("scan_recon_all")} == {p: state[p] for p in places}
+    back = run("scan_decode_all")
+    assert len(back) == field.size
+    for r in back:
+        v, at = field[r.t, r.y, r.x], state[r.t, r.y, r.x]
+        assert r.missing == np.isnan(v) and r.value == (None if r.missing else v if abs(v - at) > catalog.BOUND else at)
+    k = np.unique(symbols, return_counts=True)[1]
+    (one,) = run("pred_stencil_all")
+    assert one.n == len(symbols) and abs(one.entropy_bits - (np.log2(k.sum()) - (k * np.log2(k)).sum() / k.sum())) < 1e-5
