@@ -48,7 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table made by ``written`` that nothing reads any more."""
+    remove_folder(df.sparkSession, df._folder)
 
 
 # ---------------------------------------------------------------- hashes

@@ -1,20 +1,26 @@
-"""Operator 9: all pairs of documents whose n-gram sets have a Jaccard similarity of at least num/den, as classes.
-
-1. Documents with equal sets are one: a 128-bit hash of the set, grouped.
-2. Families: two sets that link differ in at most d = (den - num) / num * (size of the smaller) shingles, so of
-   d + 1 + e parts, into which shingles fall by hash, at least e + 1 are equal. A document sends the hash of each
-   part that isn't empty, for its class of sizes and for the class below where it may have partners there.
-   Documents that share one are of a family. One with more than e empty parts sends those too: nothing is lost.
-3. Prefix-tree join inside a family: sets, ordered by one order of all n-grams there (rarest first), form a trie,
-   held as their sorted list with the lengths of common prefixes. A document walks along it in order,
-   takes up the partial overlap where its path leaves the one before, and leaves subtrees whose remaining
-   lengths can't reach the overlap still needed. Documents already connected aren't compared again: classes are
-   asked for. Large families are cut into blocks and each pair of blocks is joined by a task of its own.
-4. Links and equal sets make classes by ``connected_components``.
+"""Operator 9: all links between documents whose n-gram sets have a Jaccard similarity of at least num/den, as classes.
+
+1. Documents with equal sets are one: a set goes by a hash of its n-grams.
+2. The global order: every (n-gram, set) goes to a bucket of n-grams, where sets are counted. N-grams of one set alone
+   end there; the others go back to their set with their count. A set's list is ordered rarest first.
+3. Prefix filter: sets that link share an n-gram among the first n - ceil(n * num / den) + 1 of each, those that one set
+   alone has included. So a set with that many n-grams of its own has no partner, and of the others only the
+   n-grams left in that prefix, its *head*, make groups. Groups with the same members are one.
+4. Stars: a set is compared exactly with central members of its groups. Links make provisional classes, so that large
+   groups of copies are connected by as many comparisons as they have members.
+5. Prefix tree (``trie``): in groups that still hold several classes, heads in the global order make a tree, and members
+   outside the group's largest class walk it: partial overlaps are shared below a node, subtrees whose remaining lengths
+   can't reach the overlap needed are pruned, and a pair is met only in the group of its first common n-gram. Large groups
+   are cut into blocks: each block is a task's, and only those outside the largest class go to all of them.
+6. What the tree leaves is verified on whole lists; links and equal sets make classes by ``connected_components``.
+
+N-grams that a large share of all sets has would crowd a bucket: those that stand out in a task's part are counted apart,
+the most frequent of them (at most ``1 / HOT_SHARE``) are known to all tasks and don't go through buckets.
 
 Defined cases: without words or text a set is empty and linked with nothing; with fewer words than n the whole
 sequence is one shingle; a row without doc_id gets a null component and links nothing; rows that share a doc_id
-are one document; equal rows each give a row; other columns of the input are not looked at.
+are one document; equal rows each give a row; other columns of the input are not looked at. N-grams and sets are
+named by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -28,13 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prefix, shingle_hashes, signed, span_hash, word_hashes, written
+from .common import discard, mix, prefix, shingle_hashes, signed, span_hash, word_hashes, written
 from .components import connected_components
+from .trie import Trie, needed
 
-#: Shingles of one block of a family; a task holds two blocks at most.
-BLOCK = 1_000_000
+#: N-grams that a task holds before it sends them, and that a bucket has on average.
+CHUNK, BUCKET = 1 << 20, 1 << 20
 #: Sets that a task remembers, so as not to send copies again.
 SEEN = 100_000
+#: An n-gram that this share of all n-grams in sets is, and so many sets have, doesn't go through its bucket.
+HOT_SHARE, HOT_SETS = 1 / (1 << 20), 1 << 16
+#: Members of a block of a group.
+BLOCK = 2048
+_LOW = np.uint64((1 << 44) - 1)
+_MOST = (1 << 19) - 1
 
 
 def _release() -> None:
@@ -51,210 +64,337 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text.encode("utf-8", "surrogatepass").lower()), n))
 
 
-def set_hash(s: np.ndarray) -> tuple[int, int]:
-    if not len(s):
-        return 0, 0
-    p = span_hash(prefix(s), np.array([0]), np.array([len(s)]))
-    q = mix(np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64)]))
-    return int(signed(p)[0]), int(signed(q)[0])
-
-
-def _classes(most: int, num: int, den: int) -> Iterator[tuple[int, int, int, int]]:
-    """(smallest size, first size of the next class, parts, empty parts that aren't sent) up to the size ``most``.
-
-    Sets of under num / (den - num) shingles link only with equal ones.
-    """
-    low = -(-num // (den - num))
-    while low <= most:
-        high = max(low + 1, low * 3 // 2)
-        d = (den - num) * (high - 1) // num  # most differences of a pair whose smaller set is in this class
-        spare = 2
-        for _ in range(3):
-            parts = d + 1 + spare
-            spare = 2 + int(1.5 * parts * np.exp(-low / parts))
-        yield low, high, d + 1 + spare, spare
-        low = high
-
-
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the parts of a set, for each class of sizes in which it can have a partner."""
-    n = len(s)
-    out = []
-    for c, (low, high, parts, spare) in enumerate(_classes(n, num, den)):
-        # The class of a pair is that of its smaller set: a partner y of x has num * |y| <= den * |x|.
-        if low <= n < high or high <= n and num * n <= den * (high - 1):
-            edge = ((np.arange(parts + 1, dtype=np.float64) / parts) * 2.0**64).clip(max=2.0**64 - 2048).astype(np.uint64)
-            at = np.searchsorted(s, edge)
-            at[-1] = n
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(mix(s), out=total[1:])
-            full = at[1:] > at[:-1]
-            h = mix(total[at[1:]] - total[at[:-1]] + np.uint64(c * 65_537) + (np.arange(parts, dtype=np.uint64) << np.uint64(40)))
-            out.append(h[full] if parts - full.sum() <= spare else h)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def _facts(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def set_hash(s: np.ndarray) -> int:
+    return int(signed(mix(span_hash(prefix(s), np.array([0]), np.array([len(s)])) + np.uint64(len(s))))[0]) if len(s) else 0
+
+
+def trie_join(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """All pairs (i, j), i < j, of sets of similarity >= num / den, by one prefix tree on the driver."""
+    some = [i for i, s in enumerate(sets) if len(s)]
+    if len(some) < 2:
+        return []
+    grams, place, count = np.unique(np.concatenate([sets[i] for i in some]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(grams), np.int64)
+    rank[np.lexsort((grams, count))] = np.arange(len(grams))
+    sizes = np.array([len(sets[i]) for i in some])
+    tree = Trie([np.sort(x) for x in np.split(rank[place], np.cumsum(sizes)[:-1])], sizes, np.zeros_like(sizes))
+    found = [(some[x], some[y]) for a, b, _ in tree.walk(np.arange(len(some)), num, den) for x, y in zip(tree.order[a].tolist(), tree.order[b].tolist())]
+    return sorted((i, j) for i, j in found if i < j)
+
+
+# ---------------------------------------------------------------- sets and the global order
+SETS = "doc_id long, n_shingles long, a long, gram long, sets long"
+
+
+def _sets(n: int):
+    """A row for each document, and rows (gram, sets) of n-grams that stand out among the sets of this task."""
+    names = ["doc_id", "n_shingles", "a", "gram", "sets"]
+    least = max(2, int(2 * CHUNK * HOT_SHARE * 4))
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams, count = np.unique(np.concatenate(held), return_counts=True)
+        grams, count = grams[count >= least], count[count >= least]
+        no = pa.nulls(len(grams), pa.int64())
+        return pa.RecordBatch.from_arrays([no, no, no, pa.array(signed(grams)), pa.array(count.astype(np.int64))], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            found = [(len(s), *set_hash(s)) for s in (shingles(x.as_py(), n) for x in batch["text"])]
-            cols = zip(*found) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in cols)], schema=schema)
+            found = []
+            for doc, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                s = shingles(x.as_py(), n)
+                found.append((len(s), set_hash(s)))
+                if doc is not None and len(s):
+                    held.append(s)
+                    size += len(s)
+                if size > 2 * CHUNK:
+                    yield often(held)
+                    held, size = [], 0
+            cols = [pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))]
+            no = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *cols, no, no], names=names)
+        if held:
+            yield often(held)
+        del held
+        _release()
 
     return rows
 
 
-def _signature_rows(n: int, num: int, den: int):
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
+def _slices(values: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of sorted values, by their upper bits."""
+    of = (values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(of)]):
+        yield int(of[i]), slice(i, j)
+
+
+ENTRIES = "bucket int, grams binary, place binary, sets binary, sizes binary"
+
+
+def _entries(n: int, num: int, den: int, buckets: int, hot: np.ndarray):
+    """ENTRIES: for each bucket n-grams, and of which set each is. N-grams of ``hot`` go to buckets of their own, behind the others."""
+    names = ["bucket", "grams", "place", "sets", "sizes"]
+
+    def flushed(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        a, sizes = np.array([k for k, _ in held], np.int64), np.array([len(s) for _, s in held], np.int64)
+        grams, of, out = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held)), sizes), []
+
+        def add(bucket: int, g: np.ndarray, o: np.ndarray) -> None:
+            own, place = np.unique(o, return_inverse=True)
+            out.append((bucket, g.tobytes(), place.astype("<u4" if len(own) > 65_535 else "<u2").tobytes(), a[own].tobytes(), sizes[own].astype("<i4").tobytes()))
+
+        if len(hot):
+            apart = np.isin(grams, hot)
+            if apart.any():
+                add(buckets + int(a[0] % buckets), grams[apart], of[apart])
+            grams, of = grams[~apart], of[~apart]
+        order = np.argsort(grams)
+        grams, of = grams[order], of[order]
+        for bucket, some in _slices(grams, buckets):
+            add(bucket, grams[some], of[some])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out))], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # a set that this task has sent needn't be sent again
+        seen: set[int] = set()  # a set that this task has sent needn't be sent again
+        held, size = [], 0
         for batch in batches:
-            parts, ids = [], []
             for doc, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 s = shingles(x.as_py(), n)
-                if doc is None or not len(s) or (key := set_hash(s)) in seen:
+                if doc is None or not len(s) or (a := set_hash(s)) in seen:
                     continue
                 if len(seen) < SEEN:
-                    seen.add(key)
-                parts.append(signatures(s, num, den))
-                ids.append(doc)
-            if parts:
-                doc = np.repeat(np.array(ids, np.int64), [len(p) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(parts))), pa.array(doc)], schema=schema)
-        del seen
+                    seen.add(a)
+                held.append((a, s))
+                size += len(s)
+                if size > CHUNK:
+                    yield flushed(held)
+                    held, size = [], 0
+        if held:
+            yield flushed(held)
+        del held, seen
         _release()
 
     return rows
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, doc_id): an edge from the first document of each signature to every other one."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    last, first = None, 0
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows that share their first column, from batches sorted by it."""
+    rows: list[tuple] = []
     for batch in batches:
-        sig, doc = (batch[c].to_numpy() for c in ("sig", "doc_id"))
-        if not len(sig):
-            continue
-        new = np.r_[sig[0] != last, sig[1:] != sig[:-1]] if last is not None else np.r_[True, sig[1:] != sig[:-1]]
-        firsts = np.r_[first, doc[new]]
-        own = firsts[np.cumsum(new)]
-        last, first = sig[-1], own[-1]
-        edges = np.unique(np.stack([own, doc])[:, own != doc], axis=1)
-        if edges.size:
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], schema=schema)
-
-
-def trie_join(sets: list[np.ndarray], num: int, den: int, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that connect all sets that are connected by similarity >= num / den.
-
-    ``side``: a number for each set; only sets of different sides are compared.
-    """
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) < 2 or not sizes.sum():
-        return []
-    grams, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(grams), np.int64)
-    rank[by := np.lexsort((grams, count))] = np.arange(len(grams))
-    shared = count[by] > 1
-    seqs = [np.sort(x) for x in np.split(rank[place], np.cumsum(sizes)[:-1])]
-    order = sorted((i for i in range(len(sets)) if sizes[i]), key=lambda i: seqs[i].astype(">u4").tobytes())
-    leaves = [seqs[i] for i in order]
-    n = [len(s) for s in leaves]
-    heads = [s[: k - -(-num * k // den) + 1] for s, k in zip(leaves, n)]
-    heads = [h[shared[h]].tolist() for h in heads]
-    common = [0] * len(leaves)  # length of the prefix shared with the leaf before
-    for i in range(1, len(leaves)):
-        a, b = leaves[i - 1], leaves[i]
-        k = min(len(a), len(b))
-        differ = np.flatnonzero(a[:k] != b[:k])
-        common[i] = int(differ[0]) if len(differ) else k
-    index: dict[int, list[int]] = {}
-    links: list[tuple[int, int]] = []
-    label, seen = np.arange(len(leaves)), np.zeros(len(leaves), bool)
-    inside = np.zeros(len(grams) + 1, bool)
-    lcp, sizes = np.array(common), np.array(n)
-    # How many n-grams of each of 64 buckets a leaf has: the sum of minima bounds any overlap, before a path is walked.
-    buckets = np.zeros((len(leaves), 64), np.int32)
-    for i, s in enumerate(leaves):
-        buckets[i] = np.bincount(s & 63, minlength=64)
-    for x, head in enumerate(heads):
-        if head:
-            seen[[y for t in head for y in index.get(t, ())]] = True
-            found = np.flatnonzero(seen[:x])
-            seen[:x] = False
-            nx, ny = n[x], sizes[found]
-            found = found[num * np.maximum(nx, ny) <= den * np.minimum(nx, ny)]
-            for some in np.split(found, np.arange(1 << 14, len(found), 1 << 14)):
-                bound = np.minimum(buckets[some], buckets[x]).sum(axis=1, dtype=np.int64)
-                near = bound >= -(-num * (nx + sizes[some]) // (num + den))
-                seen[some[near & (label[some] != label[x])]] = True
-            found = np.flatnonzero(seen[:x])
-            seen[:x] = False
-            inside[leaves[x]] = True
-            path, depth_from = None, -1  # overlaps along the path of the leaf walked last
-            for y in found.tolist():
-                ny = n[y]
-                if label[x] == label[y] or side and side[order[x]] == side[order[y]]:
-                    continue
-                need = -(-num * (nx + ny) // (num + den))
-                keep = int(lcp[depth_from + 1 : y + 1].min()) if path is not None else 0
-                keep = min(keep, len(path) - 1) if path is not None else 0
-                if keep and path[keep] + min(nx - path[keep], ny - keep) < need:
-                    continue  # the whole subtree below the shared path can't reach what is needed
-                rest = np.cumsum(inside[leaves[y][keep:]]) + (path[keep] if keep else 0)
-                path = np.r_[path[: keep + 1], rest] if keep else np.r_[0, rest]
-                depth_from = y
-                if path[-1] >= need:
-                    label[label == label[x]] = label[y]
-                    links.append((order[y], order[x]))
-            inside[leaves[x]] = False
-            for t in head:
-                index.setdefault(t, []).append(x)
-    return links
-
-
-def _family(n: int, num: int, den: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def links(table):
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        doc = table["doc_id"].to_pylist()
-        sets = [shingles(x.as_py(), n) for x in table["text"]]
-        found = trie_join(sets, num, den, None if i == j else table["block"].to_pylist())
-        if len(sets) > 100:
-            del sets
-            _release()
-        return pa.table([pa.array([doc[x] for x, _ in found], pa.int64()), pa.array([doc[y] for _, y in found], pa.int64())], schema=schema)
-
-    return links
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and r[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+SHARED = "part int, sets binary, sizes binary, counts binary, grams binary, dfs binary"
+
+
+def _shared(buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
+    """SHARED: n-grams that several sets have, with the number of sets, dealt out by set."""
+    names = ["part", "sets", "sizes", "counts", "grams", "dfs"]
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, size, gram, df = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(a, kind="stable")
+        a, size, gram, df, out = a[order], size[order], gram[order], df[order], []
+        for part, some in _slices(a, buckets):
+            at = np.flatnonzero(np.r_[True, a[some][1:] != a[some][:-1]])
+            count = np.diff(np.r_[at, some.stop - some.start]).astype("<i4")
+            out.append((part, a[some][at].tobytes(), size[some][at].tobytes(), count.tobytes(), gram[some].tobytes(), df[some].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out))], names=names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, m = [], 0
+        for some in _grouped(batches):
+            gram = np.concatenate([np.frombuffer(r[1], np.uint64) for r in some])
+            of = [np.frombuffer(r[2], "<u2" if len(r[3]) <= 8 * 65_535 else "<u4") for r in some]
+            a = np.concatenate([np.frombuffer(r[3], np.uint64)[o] for r, o in zip(some, of)])
+            size = np.concatenate([np.frombuffer(r[4], "<i4")[o] for r, o in zip(some, of)])
+            if some[0][0] < buckets:
+                order = np.lexsort((a, gram))
+                gram, a, size = gram[order], a[order], size[order]
+                new = np.r_[True, (gram[1:] != gram[:-1]) | (a[1:] != a[:-1])]  # a set that several tasks have sent counts once
+                gram, a, size = gram[new], a[new], size[new]
+                first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+                count = np.diff(np.r_[first, len(gram)])
+                df = np.repeat(count, count).astype("<i4")
+                gram, a, size, df = gram[df > 1], a[df > 1], size[df > 1], df[df > 1]
+            else:
+                df = np.full(len(gram), _MOST, "<i4") - (len(hot) - 1 - np.argsort(np.argsort(hot_sets, kind="stable"))[np.searchsorted(hot, gram)]).clip(max=_MOST // 2).astype("<i4")
+            if len(gram):
+                held.append((a, size, gram, df))
+                m += len(gram)
+            if m > CHUNK:
+                yield sent(held)
+                held, m = [], 0
+        if held:
+            yield sent(held)
+        del held
+        _release()
+
+    return rows
+
+
+LISTS = "a long, n int, shared int, score int, grams binary, head binary"
+
+
+def _lists(num: int, den: int):
+    """LISTS: a row for each set that may have a partner: its shared n-grams in the global order, and the keys of its head."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _grouped(batches):
+            count = np.concatenate([np.frombuffer(r[3], "<i4") for r in some])
+            a = np.repeat(np.concatenate([np.frombuffer(r[1], np.uint64) for r in some]), count)
+            size = np.repeat(np.concatenate([np.frombuffer(r[2], "<i4") for r in some]), count)
+            gram = np.concatenate([np.frombuffer(r[4], np.uint64) for r in some])
+            df = np.concatenate([np.frombuffer(r[5], "<i4") for r in some])
+            key = np.minimum(df, _MOST).astype(np.uint64) << np.uint64(44) | gram & _LOW
+            order = np.lexsort((gram, key, a))
+            a, gram, key, size = a[order], gram[order], key[order], size[order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (gram[1:] != gram[:-1])]
+            a, gram, key, size = a[new], gram[new], key[new], size[new]
+            at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            shared, n = np.diff(np.r_[at, len(a)]), size[at].astype(np.int64)
+            head = n - -(-num * n // den) + 1 - (n - shared)
+            keep = np.flatnonzero(head > 0)
+            if len(keep):
+                end = at + shared
+                cols = [signed(a[at[keep]]), n[keep].astype(np.int32), shared[keep].astype(np.int32), ((n - shared) * 1000 // n)[keep].astype(np.int32)]
+                lists = [[x[at[i] : e[i]].tobytes() for i in keep] for x, e in ((gram, end), (key, np.minimum(at + head, end)))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *(pa.array(x, pa.binary()) for x in lists)], names=["a", "n", "shared", "score", "grams", "head"])
+        _release()
+
+    return rows
+
+
+# ---------------------------------------------------------------- groups, stars and trees
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.unique(np.frombuffer(x.as_buffer(), np.int64)) for x in batch["head"]]
+        of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        if len(of):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch["a"].take(pa.array(of)), batch["score"].take(pa.array(of))], names=["token", "a", "score"])
+
+
+def _verified(num: int, den: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, last, one = [], None, np.empty(0, np.uint64)
+            for x, gx, gy, nx, ny in zip(batch["x"].to_pylist(), batch["gx"], batch["gy"], batch["nx"].to_pylist(), batch["ny"].to_pylist()):
+                if x != last:
+                    last, one = x, np.frombuffer(gx.as_buffer(), np.uint64)
+                both = len(np.intersect1d(one, np.frombuffer(gy.as_buffer(), np.uint64), assume_unique=True))
+                good.append(both >= needed(nx, ny, num, den))
+            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    return rows
+
+
+def _links(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs (x, y) whose whole lists overlap enough."""
+    sides = [lists.select(F.col("a").alias(s), F.col("n").alias(f"n{s}"), F.col("shared").alias(f"s{s}"), F.col("grams").alias(f"g{s}")) for s in "xy"]
+    long, short = F.greatest("nx", "ny"), F.least("nx", "ny")
+    both = pairs.join(sides[0], "x").join(sides[1], "y").filter(num * long.cast("long") <= den * short.cast("long"))
+    both = both.filter((num + den) * F.least("sx", "sy").cast("long") >= num * (long + short).cast("long"))
+    return both.select("x", "y", "nx", "ny", "gx", "gy").mapInArrow(_verified(num, den), "x long, y long")
+
+
+def _walks(num: int, den: int):
+    """From members sorted by (token, block): pairs of different classes that may link."""
+    names = ["token", "block", "a", "label", "walks", "own", "n", "shared", "head"]
+
+    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        token = rows[0][0]
+        a, label, walks, own, n, shared = (np.array(c) for c in list(zip(*rows))[2:8])
+        heads = [np.sort(np.frombuffer(r[8], np.int64)) for r in rows]
+        tree = Trie(heads, n.astype(np.int64), shared - np.array([len(h) for h in heads]))
+        a, label, walks, own = a[tree.order], label[tree.order], walks[tree.order], own[tree.order]
+        out = []
+        for x, y, _ in tree.walk(np.flatnonzero(walks), num, den, token):
+            good = own[y] & (label[x] != label[y]) & (~walks[y] | (a[x] < a[y]))
+            out.append((a[x[good]], a[y[good]]))
+        return tuple(np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*out) if out else ((), ())))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for r in zip(*(batch[c].to_pylist() for c in names)):
+                if held and r[:2] != held[0][:2]:
+                    out.append(pairs(held))
+                    held = []
+                held.append(r)
+            if out:
+                x, y = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+        if held:
+            x, y = pairs(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+        del held
+        _release()
+
+    return rows
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, block, a, label, walks, own): members of groups of several classes, in blocks; those outside the largest class in all blocks."""
+    members = members.join(labels.select(F.col("node").alias("a"), "root"), "a", "left").select("token", "a", F.coalesce("root", "a").alias("label"))
+    classes = members.groupBy("token", "label").agg(F.count("*").alias("k"))
+    groups = classes.groupBy("token").agg(F.sum("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("classes"))
+    groups = written(groups.filter("classes > 1").select("token", "major", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "open")
+    some = members.join(groups, "token").withColumn("walks", F.col("label") != F.col("major"))
+    some = some.withColumn("home", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    reach = F.when(F.col("walks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
+    return some.withColumn("block", F.explode(reach)).select("token", "block", "a", "label", "walks", (F.col("block") == F.col("home")).alias("own"))
+
+
+def set_links(docs: DataFrame, total: int, hot: list, n: int, num: int, den: int) -> DataFrame:
+    """(x, y): links between sets (by their hashes) that connect all sets that similarity connects. ``total``: n-grams in all sets; ``hot``: (gram, sets)."""
+    buckets = max(64, -(-total // BUCKET))
+    often = sorted((int(g) & 0xFFFFFFFFFFFFFFFF, int(k)) for g, k in hot)
+    grams, counts = np.array([g for g, _ in often], np.uint64), np.array([k for _, k in often], np.int64)
+    entries = docs.mapInArrow(_entries(n, num, den, buckets, grams), ENTRIES)
+    shared = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, grams, counts), SHARED)
+    lists = written(shared.repartition("part").sortWithinPartitions("part").mapInArrow(_lists(num, den), LISTS), "lists")
+    heads = lists.select("a", "score", "head").mapInArrow(_heads, "token long, a long, score int")
+    heads = written(heads, "heads")
+    groups = heads.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("score", "a")).alias("centre"), F.bit_xor(F.xxhash64("a")).alias("p"), F.bit_xor(F.xxhash64("a", F.lit(7))).alias("q"))
+    groups = groups.filter("k > 1").groupBy("k", "p", "q").agg(F.min("token").alias("token"), F.min("centre").alias("centre"))
+    groups = written(groups.select("token", "k", "centre"), "groups")
+    members = written(heads.select("token", "a").join(groups, "token"), "members")
+    discard(heads)
+    rest = members.filter(F.col("a") != F.col("centre.a"))
+    best = rest.groupBy("a").agg(F.min("centre").alias("one"), F.min_by("centre", "token").alias("two")).select("a", F.explode(F.array("one.a", "two.a")).alias("y"))
+    stars = best.unionByName(rest.filter("k = 2").select("a", F.col("centre.a").alias("y"))).withColumnRenamed("a", "x").distinct()
+    links = written(_links(written(stars, "stars"), lists, num, den), "links")
+    walkers = _open(members.filter("k > 2"), connected_components(links.toDF("a", "b")))
+    walkers = walkers.join(lists.select("a", "n", "shared", "head"), "a").select("token", "block", "a", "label", "walks", "own", "n", "shared", "head")
+    near = walkers.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_walks(num, den), "x long, y long")
+    near = written(near, "near")
+    return links.unionByName(written(_links(near, lists, num, den), "links"))
 
 
 def ngram_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs: classes of similarity >= num / den on n-word shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = written(docs.mapInArrow(_facts(n), "doc_id long, n_shingles long, a long, b long"), "sets")
-    equal = written(facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("one"), F.count("*").alias("k")).filter("k > 1").drop("k"), "equal")
-    copies = facts.filter("doc_id IS NOT NULL AND n_shingles > 0").join(equal, ["a", "b"]).filter("doc_id <> one").select("doc_id", "one")
-    copies = written(copies.distinct(), "copies")
-    sent = docs.mapInArrow(_signature_rows(n, num, den), "sig long, doc_id long")
-    near = written(sent.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(_runs, "a long, b long"), "near")
-    for end in ("a", "b"):  # each set goes by its smallest document
-        one = copies.groupBy(F.col("doc_id").alias(end)).agg(F.min("one").alias("one"))
-        near = near.join(one, end, "left").withColumn(end, F.coalesce("one", end)).drop("one")
-    families = connected_components(near)
-    families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    size = facts.select("doc_id", "n_shingles").join(families.withColumnRenamed("node", "doc_id"), "doc_id")
-    blocks = size.groupBy("root").agg((F.floor(F.sum("n_shingles") / BLOCK) + 1).cast("int").alias("blocks"))
-    members = families.join(written(blocks, "families"), "root").withColumnRenamed("node", "doc_id")
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    texts = docs.join(members, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
-    links = texts.groupBy("root", "i", "j").applyInArrow(_family(n, num, den), "a long, b long")
-    links = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("one").alias("b")))
-    roots = connected_components(links).withColumnRenamed("node", "doc_id")
+    found = written(docs.mapInArrow(_sets(n), SETS), "sets")
+    facts = found.filter("gram IS NULL").select("doc_id", "n_shingles", "a")
+    known = facts.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    sets = written(known.groupBy("a").agg(F.min("doc_id").alias("one"), F.count("*").alias("k")), "distinct")
+    total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    often = found.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("sets").alias("sets"))
+    hot = often.filter(F.col("sets") >= max(HOT_SETS, total * HOT_SHARE)).collect()  # at most 1 / HOT_SHARE rows
+    links = set_links(docs, total, hot, n, num, den)
+    for end in ("x", "y"):  # each set goes by its smallest document
+        links = links.join(sets.select(F.col("a").alias(end), F.col("one").alias(f"{end}_")), end)
+    copies = known.join(sets.filter("k > 1").select("a", "one"), "a").filter("doc_id <> one")
+    edges = links.select(F.col("x_").alias("a"), F.col("y_").alias("b")).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("one").alias("b")))
+    roots = connected_components(edges).withColumnRenamed("node", "doc_id")
     return facts.join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldpress.llm import decontamination, ngram_join, packing, quality_classifier, quality_rules, repeats, substring_dedup, suffix_dedup, token_store, url_filter, warc
+from fieldpress.llm import decontamination, ngram_join, packing, quality_classifier, quality_rules, repeats, substring_dedup, suffix_dedup, token_store, trie, url_filter, warc
 from fieldpress.llm.common import shared_folder, word_hashes
 from fieldpress.llm.components import connected_components
 from fieldpress.llm.tokens import Encoder, vocabulary
@@ -146,8 +146,7 @@ def classes_by_brute_force(rows, n, num, den):
     return [(i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets)]
 
 
-@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
-@pytest.mark.parametrize("block", [1_000_000, 700])
+@pytest.mark.parametrize("n,num,block", [(3, 90, 2048), (5, 80, 1)])
 def test_ngram_classes(docs, rows, none, monkeypatch, n, num, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = [tuple(r) for r in ngram_join.ngram_classes(docs, n, num, 100).collect()]
@@ -155,16 +154,50 @@ def test_ngram_classes(docs, rows, none, monkeypatch, n, num, block):
     assert ngram_join.ngram_classes(none).count() == 0
 
 
-def test_signatures_lose_no_link():
+@pytest.mark.parametrize("block,hot,n,num", [(2048, 1 << 16, 3, 90), (7, 3, 5, 80)])
+def test_near_copies_of_many_degrees(spark, monkeypatch, block, hot, n, num):
+    """Clusters in which some texts link to a few others only, chains, boilerplate, and shared doc_ids."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HOT_SETS", hot)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 1 / (1 << 22))
+    rng = np.random.default_rng(9)
+    line, texts = [f"boiler{k}" for k in range(12)], []
+    for c in range(4):
+        base = [f"c{c}x{k}" for k in rng.integers(0, 5000, 90)]
+        for _ in range(30):
+            share = rng.random() * 0.12
+            texts.append(line + [f"n{rng.integers(10**9)}" if rng.random() < share else w for w in base])
+    chain = [f"z{k}" for k in range(100)]
+    texts += [chain[k : k + 60] for k in range(0, 30)]  # each links to the next ones only
+    texts += [line, line[:-1], line + ["more"]]
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts)] + [(3, " ".join(texts[0][:-1])), (None, " ".join(chain))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in ngram_join.ngram_classes(df, n, num, 100).collect()]
+    expected = classes_by_brute_force(rows, n, num, 100)
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert 10 < len({c for _, _, c in expected}) < len(rows) - 40
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_trie_finds_all_pairs(whole):
     rng = np.random.default_rng(8)
-    for num in (80, 90):
-        for _ in range(300):
-            size = int(rng.integers(1, 80))
-            x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
-            y = np.unique(np.r_[x[rng.random(len(x)) > 0.12], rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)])
-            both = len(np.intersect1d(x, y))
-            if len(y) and len(x) != both and 100 * both >= num * (len(x) + len(y) - both):
-                assert np.intersect1d(ngram_join.signatures(x, num, 100), ngram_join.signatures(y, num, 100)).size
+    for _ in range(100):
+        num, base, sets = int(rng.choice([50, 80, 90])), rng.choice(200, int(rng.integers(1, 40))), []
+        for _ in range(int(rng.integers(2, 25))):
+            x = np.unique(np.r_[base[rng.random(len(base)) > rng.random() * 0.3], rng.integers(0, 200, rng.integers(0, 4))])
+            sets += [x] if len(x) else []
+        size = [len(x) for x in sets]
+        lists = sets if whole else [x[: k - -(-num * k // 100) + 1] for x, k in zip(sets, size)]
+        expected = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))}
+        tree = trie.Trie(lists, np.array(size), np.array([k - len(x) for x, k in zip(lists, size)]))
+        got = {(int(a), int(b)) for x, y, _ in tree.walk(np.arange(len(sets)), num, 100) for a, b in zip(tree.order[x], tree.order[y])}
+        assert got == expected if whole else got >= expected
+        met = []  # by first common token: no pair is lost, none met twice
+        for w in np.unique(np.concatenate(lists)) if len(sets) > 1 else ():
+            some = [i for i, x in enumerate(lists) if w in x]
+            tree = trie.Trie([lists[i] for i in some], np.array([size[i] for i in some]), np.array([size[i] - len(lists[i]) for i in some]))
+            met += [(some[a], some[b]) for x, y, _ in tree.walk(np.arange(len(some)), num, 100, int(w)) for a, b in zip(tree.order[x], tree.order[y])]
+        assert set(met) >= expected and len(met) == len(set(met))
 
 
 def test_components(spark):
