@@ -3,11 +3,12 @@
 Every 200-byte string that starts twice, in one document or in two, is removed wherever it stands. A suffix
 array over all bytes can't be sorted by a cluster without shuffling many times the corpus, so the sort is
 sparse and in buckets: ``repeats`` leaves the suffixes whose anchor (the smallest 64-byte run of each string)
-stands more than once, and brings the contexts of one anchor together. A bucket's suffixes are put in order by a
+stands more than once, and brings the different contexts of one anchor together. A bucket's suffixes are put in order by a
 mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial
 hashes (8 steps for 200 bytes). Neighbours whose extension reaches 200 bytes are compared byte by byte, so that
-no hash collision joins them. Anchors with more than ``repeats.HOT`` contexts aren't gathered: their strings are counted
-by 128 bits of hash, pre-aggregated.
+no hash collision joins them. All removals come out of that order: it gives runs of repeated strings in a context,
+with a digest of their bytes, and a place where the same context stands loses them if its own bytes have that digest.
+Anchors with many contexts are made longer until they have few (``repeats.HOT``).
 
 Defined cases: a null or empty text has no bytes; texts of under 200 bytes lose nothing; rows without a doc_id
 neither give nor take strings; equal rows repeat each other; every input row gives one output row. The kept
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import _INVERSE, BYTES, _power, prefix
@@ -32,8 +34,24 @@ def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return BYTES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
 
 
+def _cut_bytes(raw: bytes, x: None, start: int, end: int) -> bytes:
+    return raw[start:end]
+
+
+def _byte_hashes(sent: bytes) -> np.ndarray:
+    return BYTES[np.frombuffer(sent, np.uint8)]
+
+
+def _classes(sent: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    return Suffixes(np.frombuffer(sent, np.uint8), starts, length).classes()
+
+
+def _digest(sent: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(sent) - (1 << 63)
+
+
 def byte_kind(window: int) -> Kind:
-    return Kind(_units, window, max(1, window * 8 // 25))
+    return Kind(_units, window, max(1, window * 8 // 25), _cut_bytes, _byte_hashes, _classes, _digest)
 
 
 class Suffixes:
@@ -116,8 +134,9 @@ def _judged(window: int, whole: bool):
             for doc, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist()):
                 data = kept = text.encode("utf-8", "surrogatepass")
                 gone = runs = 0
+                spans = [r for r in spans or () if _digest(data[r["s"] : r["s"] + r["n"] + window - 1]) == r["digest"]]
                 if spans:
-                    mask = covered(len(data), spans, None, window)
+                    mask = covered(len(data), spans, window)
                     gone, runs = int(mask.sum()), int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                     kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
                 out.append((doc, len(data), gone, runs, hashlib.sha256(kept).hexdigest()) + (kept,) * whole)
@@ -129,7 +148,7 @@ def _judged(window: int, whole: bool):
 def remove_repeated_bytes(docs: DataFrame, window: int = 200, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also the kept bytes as ``kept``."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    found = with_removals(docs, byte_kind(window), False, Suffixes)
+    found = with_removals(docs, byte_kind(window), False)
     return found.select("doc_id", "text", "spans").mapInArrow(_judged(window, texts), schema)
 
 

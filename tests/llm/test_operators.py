@@ -51,26 +51,63 @@ def by_id(df):
     return sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
 
 
-def test_substrings(docs, rows, none):
+def removed_words(rows, window=50):
     first = {}
     for i, t in rows:
         w = (t or "").encode().split()
-        for a in range(len(w) - 49):
-            k = tuple(w[a : a + 50])
+        for a in range(len(w) - window + 1):
+            k = tuple(w[a : a + window])
             if i is not None:
                 first[k] = min(first.get(k, i), i)
     expected = []
     for i, t in rows:
         w = (t or "").encode().split()
         gone = set()
-        for a in range(len(w) - 49):
-            if i is not None and first[tuple(w[a : a + 50])] < i:
-                gone.update(range(a, a + 50))
+        for a in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[a : a + window])] < i:
+                gone.update(range(a, a + window))
         kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
         expected.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return expected
+
+
+def shared_passages():
+    """Passages at various places, in rows that share doc_ids, in copies and inside one document."""
+    rng = np.random.default_rng(21)
+    line, long = prose(64, rng), prose(130, rng)
+    rows = [(i, f"{prose(20 + i % 7, rng)} {line} {prose(30, rng)}") for i in range(24)]
+    rows += [(3, f"{line} {long}"), (5, f"x {line} y {long}"), (5, f"{long} z {long}"), (5, line), (7, f"{line} {line}"), (7, long[10:]), (2, long[: len(long) // 2])]
+    return rows + [(40 + k // 2, f"{prose(5, rng)} {line} {long}") for k in range(8)]
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_substrings(spark, docs, rows, none, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     got = [tuple(r) for r in substring_dedup.remove_repeats(docs, texts=False).collect()]
-    assert sorted(got, key=repr) == sorted(expected, key=repr) and sum(r[2] for r in got) > 500
+    assert sorted(got, key=repr) == sorted(removed_words(rows), key=repr) and sum(r[2] for r in got) > 500
     assert substring_dedup.remove_repeats(none).count() == 0
+    more = shared_passages()
+    got = [tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(more, "doc_id long, text string"), texts=False).collect()]
+    assert sorted(got, key=repr) == sorted(removed_words(more), key=repr)
+
+
+def test_equal_rows_take_linear_work(spark):
+    text = prose(400)
+    for n in (20, 200):
+        df = spark.createDataFrame([(1, text)] + [(2, text)] * n, "doc_id long, text string")
+        found = substring_dedup.with_removals(df, substring_dedup.word_kind(50), True).filter("doc_id = 2").select(F.size("spans").alias("k")).collect()
+        assert len(found) == n and {r.k for r in found} == {found[0].k} and found[0].k < 60
+
+
+def test_longest_repeats(spark):
+    rng = np.random.default_rng(4)
+    passage = prose(450, rng)
+    texts = [f"{prose(30, rng)} {passage} {prose(20, rng)}", prose(60, rng), f"{passage} {prose(9, rng)}", " ".join(passage.split()[:120])]
+    found = substring_dedup.longest_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    windows = {}
+    for r in found:
+        windows[r.words, r.doc_id] = windows.get((r.words, r.doc_id), 0) + r.n
+    assert windows == {(50, 2): 401, (50, 3): 71, (100, 2): 351, (100, 3): 21, (200, 2): 251, (400, 2): 51}
 
 
 def test_cut_keeps_other_text():
@@ -99,11 +136,14 @@ def brute_bytes(rows):
 
 
 @pytest.mark.parametrize("hot", [256, 1])
-def test_suffixes(docs, rows, none, monkeypatch, hot):
+def test_suffixes(spark, docs, rows, none, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     got = [tuple(r) for r in suffix_dedup.remove_repeated_bytes(docs, texts=False).collect()]
     assert sorted(got, key=repr) == sorted(brute_bytes(rows), key=repr)
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
+    more = shared_passages()
+    got = [tuple(r) for r in suffix_dedup.remove_repeated_bytes(spark.createDataFrame(more, "doc_id long, text string"), texts=False).collect()]
+    assert sorted(got, key=repr) == sorted(brute_bytes(more), key=repr)
 
 
 def test_suffix_order():
