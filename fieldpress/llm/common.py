@@ -58,6 +58,11 @@ def discard(df: DataFrame) -> None:
     remove_folder(df.sparkSession, df._folder)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the columns c0, c1 and so on: names of any kind then get through Python."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
 # ---------------------------------------------------------------- hashes
 class Hashes(dict):
     """64-bit hashes of words, kept until there are ``limit`` of them."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, mix, shingle_hashes
+from .common import Hashes, mix, numbered, shingle_hashes
 
 N, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 20, 8
@@ -139,15 +139,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item of benchmark, with all their columns."""
+    names, text = docs.columns, docs.columns.index("text")
+    docs = numbered(docs)
     for items in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.leaks(x.as_py()) for x in batch["text"]], pa.bool_()))
+                yield batch.filter(pa.array([not shared.value.leaks(x.as_py()) for x in batch[text]], pa.bool_()))
 
         docs = docs.mapInArrow(rows, docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 Random indexing (Kanerva et al., 2000): each term has a sparse random index vector, drawn from its hash; a
 term's context vector is the sum of the index vectors of its neighbours within two words. Terms are words (A-Z lower-cased)
-and their shapes (runs of capitals, small letters, digits; signs as they are; one of their own for words that repeat the
+and their shapes (runs of capitals, letters, digits; signs as they are; one of their own for words that repeat the
 one before), so that unknown words are known by shape.
 A document is the mean of its words' and of its shapes' vectors. The network's logits are divided by a temperature
 fitted on rows that it wasn't trained on.
 
-Contexts are those of all words of all documents. Tasks sum them up, a shuffle by term adds the sums, and the vectors of
-shapes and of words that stand in more than one text go to all tasks (int8 with a scale per term). A word that stands in one
-text only has its contexts there, so its vector is made from that text where it is needed: no word is left out.
+Contexts are those of all words of all documents. Terms go to ``WORDS`` + ``SHAPES`` rows by hash, whatever their number, so
+that tasks, shuffle, driver and broadcast hold tables of one size at any input, and no word is left out: rare words
+that share a row share a vector. Tasks sum contexts up as integers, a shuffle by row adds the sums.
 
 The network alone is fitted on a sample: the ``SAMPLE`` labelled documents with the smallest hashes of doc_id, and the first
 of the other kind where those have one kind of label only. Their whole texts, of any length, are pooled by tasks; the driver
@@ -17,126 +17,162 @@ gets a vector for each. Every document is scored over its whole text. Inputs are
 
 Defined cases: a null or empty text has the zero vector and gets the score of that; labels with a null are left out, of
 several the largest counts, of several texts of a doc_id that with the smallest hash is fitted on; without labels every score is 0.5, with one kind it is 0 or 1 smoothed by the sample's size;
-a null doc_id is scored too and held_out is null; columns besides doc_id and text aren't looked at.
+a null doc_id is scored too and held_out is null; equal texts get equal scores; columns besides doc_id and text aren't looked at.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import _INVERSE, _PIECE, _SPACE, BYTES, _power, mix, numbered, prefix, span_hash, written
 
 SAMPLE = 3_000
 DIM, REACH, HIDDEN = 64, 2, 32
-#: Terms of which a task sums up contexts at a time, and words that it takes at once.
-TERMS, CHUNK = 600_000, 16_384
-#: Parts by hash in which terms are dealt out.
-BUCKETS = 1024
+#: Rows of the table of vectors: for words, and after those for shapes, of which the first is that of words that repeat the one before.
+WORDS, SHAPES = 1 << 17, 1 << 12
+ROWS = WORDS + SHAPES
+SAME = WORDS
+#: Parts of the table that are summed up apart; tokens that are worked on at a time; tokens after which a task sends its sums.
+PARTS, CHUNK, TOKENS = 64, 8192, 20_000_000
+#: Vectors are held as integers of this unit.
+UNIT = 1 / 16_384
 THRESHOLD = 0.3
-_RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[\x80-\xff]+"), b"u"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^Aau0])\1+"), rb"\1\1")]
-_MIXED = re.compile(rb"[au]+")
 
 
-#: The shape of a word that repeats the one before it.
-SAME = b"\0same"
-
-
-def shape(word: bytes) -> bytes:
-    for pattern, to in _RUNS:
-        word = pattern.sub(to, word)
-    return b"\0" + _MIXED.sub(b"a", word)[:16]
-
-
-def term_key(term: bytes) -> int:
-    return xxhash.xxh3_128_intdigest(term) & 0xFFFFFFFFFFFFFFFF
-
-
-def index_vectors(keys: np.ndarray) -> np.ndarray:
-    """8 of DIM places are +1 or -1, by the term's hash."""
-    parts = np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)
-    out, at = np.zeros((len(parts), DIM), np.int8), np.arange(len(parts))
+# ---------------------------------------------------------------- terms
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    lower, kind = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    kind[65:91], kind[97:123], kind[128:], kind[48:58] = 65, 97, 97, 48
+    return lower, kind
+
+
+_LOWER, _KIND = _classes()
+
+
+def _rows_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, row, shape row) of the words of UTF-8 text; no word is made an object."""
+    x = np.frombuffer(data, np.uint8)
+    space = _SPACE[x]
+    change = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    start, end = change[::2], change[1::2]
+    if not len(start):
+        return start, start, start
+    low = _LOWER[x]
+    p = prefix(BYTES[low])
+    word = mix((p[end] - p[start]) * _power(_INVERSE, len(p))[start] + (end - start).astype(np.uint64))
+    # A shape: the classes of the bytes, of a run of letters or digits one, of a run of the same sign two.
+    kind = _KIND[x]
+    kind[space] = 0
+    again = np.r_[False, kind[1:] == kind[:-1]]
+    sign = (kind != 65) & (kind != 97) & (kind != 48)
+    kept = ~again | sign & ~np.r_[False, again[:-1]]
+    place = np.cumsum(kept)
+    q = prefix(BYTES[kind[kept]])
+    shape = span_hash(q, place[start] - 1, place[end - 1])
+    return start, (word >> np.uint64(32)).astype(np.int64) % WORDS, WORDS + 1 + (shape >> np.uint64(32)).astype(np.int64) % (SHAPES - 1)
+
+
+def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the words and of the shapes of all texts in a row, and how many words each text has."""
+    whole = b"\n".join(texts)
+    parts, at = [], 0
+    while at < len(whole):  # cut at white space, so that memory doesn't grow with the text
+        end = at + _PIECE
+        while end < len(whole) and not _SPACE[whole[end]]:
+            end += 1
+        start, word, shape = _rows_of(whole[at:end])
+        parts.append((start + at, word.astype(np.int32), shape.astype(np.int32)))
+        at = end
+    start, word, shape = (np.concatenate([np.empty(0, np.int32), *c]) for c in (zip(*parts) if parts else ((), (), ())))
+    count = np.diff(np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+    first = np.cumsum(count) - count
+    again = np.r_[False, word[1:] == word[:-1]][: len(word)]
+    again[first[(count > 0)]] = False
+    shape[again] = SAME
+    return word, shape, count
+
+
+def encoded(texts: pa.Array) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts]
+
+
+def _portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t) > _PIECE:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t) + 1
+    if some:
+        yield some
+
+
+def index_vectors() -> np.ndarray:
+    """8 of DIM places are +1 or -1, by the row's hash; behind the last row there is a zero one."""
+    parts = mix(np.arange(1, ROWS + 1, dtype=np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    out, at = np.zeros((ROWS + 1, DIM), np.int32), np.arange(ROWS)
     for part in parts.T:
-        out[at, (part >> 1) % DIM] += 2 * (part & 1).astype(np.int8) - 1
-    return out
+        out[at, (part >> 1) % DIM] += 2 * (part & 1).astype(np.int32) - 1
+    return out.astype(np.int8)
 
 
 # ---------------------------------------------------------------- contexts of all terms
-class _Contexts(dict):
-    """word -> its number; sums up the contexts of terms until there are TERMS of them. Number 0 and row 0 are the gap between texts."""
+class Contexts:
+    """Sums of the contexts of the terms of texts."""
 
     def __init__(self):
-        super().__init__()
-        room = TERMS + 4 * CHUNK + 100
-        self.index, self.context = np.zeros((room, DIM), np.int8), np.zeros((room, DIM), np.int32)
-        self.home, self.many = np.full(room, -1, np.int64), np.zeros(room, bool)
-        self.a, self.b = np.zeros(room, np.int64), np.zeros(room, np.int64)
-        self.keys, self.rows, self.new, self.ready, self.tokens = [0], {}, [], 1, 0
-        self.same = self.row(SAME)
-
-    def row(self, term: bytes) -> int:
-        key = term_key(term)
-        out = self.rows.get(key)
-        if out is None:
-            out = self.rows[key] = len(self.keys)
-            self.keys.append(key)
-            self.many[out] = term[:1] == b"\0"
-        return out
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self) + 1
-        self.new.append((out, self.row(word.lower()), self.row(shape(word))))
-        return out
-
-    def full(self) -> bool:
-        return len(self) > TERMS or len(self.keys) > TERMS or self.tokens > 20_000_000
-
-    def add(self, u: np.ndarray, doc: np.ndarray, low: int, high: int) -> None:
-        """Takes up the tokens from low to high; those around them are context."""
-        if self.new:
-            at, a, b = np.array(self.new).T
-            self.a[at], self.b[at], self.new = a, b, []
-        if self.ready < len(self.keys):
-            self.index[self.ready : len(self.keys)] = index_vectors(np.array(self.keys[self.ready :], np.uint64))
-            self.ready = len(self.keys)
-        a, b = self.a[u], self.b[u]
-        b[1:][(u[1:] == u[:-1]) & (u[1:] > 0)] = self.same
-        own = self.index[b].astype(np.int32)
-        v = own + self.index[a]
-        around = own  # a term's own shape is part of its context
-        for k in range(1, REACH + 1):
-            around[k:] += v[:-k]
-            around[:-k] += v[k:]
-        a, b, doc, around = a[low:high], b[low:high], doc[low:high], around[low:high]
-        np.add.at(self.context.reshape(-1), (a[:, None] * DIM + np.arange(DIM)).ravel(), around.ravel())
-        order = np.argsort(b, kind="stable")
-        start = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0])
-        for i, j in zip(start, [*start[1:], len(order)]):
-            self.context[b[order[i]]] += around[order[i:j]].sum(axis=0, dtype=np.int32)
-        fresh = self.home[a] < 0
-        self.home[a[fresh]] = doc[fresh]
-        self.many[a[self.home[a] != doc]] = True
-        self.tokens += high - low
-
-    def sums(self) -> Iterator[pa.RecordBatch]:
-        """PARTIAL: a row for each bucket of terms, so that a term takes few bytes besides its numbers."""
-        keys = np.array(self.keys[1:], np.uint64)
-        order = np.argsort(keys % BUCKETS, kind="stable")
-        ends = np.searchsorted((keys % BUCKETS)[order], np.arange(BUCKETS + 1))
-        for bucket in np.flatnonzero(np.diff(ends)):
-            some = order[ends[bucket] : ends[bucket + 1]]
-            widths, data = packed(self.context[some + 1])
-            row = int(bucket), keys[some].tobytes(), (widths | self.many[some + 1] << 2).astype(np.uint8).tobytes(), data
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "kinds", "sums"])
+        self.index = index_vectors()
+        self.clear()
+
+    def clear(self) -> None:
+        self.sums, self.met, self.tokens = np.zeros((ROWS + 1, DIM), np.int32), np.zeros(ROWS + 1, bool), 0
+
+    def add(self, word: np.ndarray, shape: np.ndarray, count: np.ndarray) -> None:
+        count = count[count > 0]
+        n = len(word)
+        # Between texts there is a gap as wide as a word's reach, of the row behind the last.
+        at = np.arange(n) + np.repeat(np.arange(1, len(count) + 1) * REACH, count)
+        a = np.full(n + (len(count) + 1) * REACH, ROWS, np.int32)
+        b = a.copy()
+        a[at], b[at] = word, shape
+        for low in range(0, len(a), CHUNK):
+            begin, end = max(low - REACH, 0), min(low + CHUNK + REACH, len(a))
+            own = self.index[b[begin:end]].astype(np.int32)
+            v = own + self.index[a[begin:end]]
+            around = own  # a term's own shape is part of its context
+            for k in range(1, REACH + 1):
+                around[k:] += v[:-k]
+                around[:-k] += v[k:]
+            some = slice(low - begin, low - begin + min(CHUNK, len(a) - low))
+            around = around[some]
+            for u in (a[begin:end][some], b[begin:end][some]):
+                order = np.argsort(u, kind="stable")
+                u = u[order]
+                first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+                self.sums[u[first]] += np.add.reduceat(around[order], first, axis=0)
+                self.met[u[first]] = True
+        self.tokens += n
+
+    def parts(self) -> pa.RecordBatch:
+        """PARTIAL: a row for each part of the table that has been met."""
+        rows, met = [], self.met[:ROWS]
+        for part in range(PARTS):
+            at = np.flatnonzero(met[part::PARTS])
+            if len(at):
+                kind, data = packed(self.sums[part:ROWS:PARTS][at])
+                rows.append((part, at.astype("<u4").tobytes(), kind.tobytes(), data))
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, types)], names=["part", "rows", "kinds", "sums"])
 
 
 WIDTHS = np.array([DIM // 2, DIM, 4 * DIM])
@@ -165,203 +201,85 @@ def unpacked(kind: np.ndarray, data: bytes) -> np.ndarray:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PARTIAL of a task's texts; a term is marked where more than one of them has it, and shapes are."""
-    found, gap, doc = _Contexts(), np.zeros(REACH, np.int64), 0
-    parts, n = [], 0
-
-    def take() -> None:
-        nonlocal parts, n
-        if parts:
-            u = np.concatenate([gap, *(x for p, _ in parts for x in (p, gap))])
-            home = np.repeat(np.array([0, *(d for _, d in parts)]), [REACH, *(len(p) + REACH for p, _ in parts)])
-            at = np.flatnonzero(u)
-            found.add(u, home, int(at[0]), int(at[-1]) + 1)
-            # what stands in row 0 is the gaps' and is never sent
-        parts, n = [], 0
-
+    found = Contexts()
     for batch in batches:
-        for x in batch["text"]:
-            text, doc = x.as_py(), doc + 1
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            if len(words) <= CHUNK:
-                if words:
-                    parts.append((np.fromiter(map(found.__getitem__, words), np.int64, len(words)), doc))
-                    n += len(words)
-                if n >= CHUNK:
-                    take()
-            else:
-                take()
-                for at in range(0, len(words), CHUNK):
-                    begin = max(at - REACH - 1, 0)
-                    some = words[begin : at + CHUNK + REACH]
-                    u = np.fromiter(map(found.__getitem__, some), np.int64, len(some))
-                    found.add(u, np.full(len(u), doc), at - begin, min(at + CHUNK, len(words)) - begin)
-                    if found.full():
-                        yield from found.sums()
-                        found = _Contexts()
-            if not parts and found.full():
-                yield from found.sums()
-                found = _Contexts()
-    take()
-    yield from found.sums()
-
-
-PARTIAL = "bucket int, keys binary, kinds binary, sums binary"
-BLOBS = "n long, total binary, keys binary, vectors binary"
-
-
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From PARTIAL sorted by bucket: number and sum of the contexts (of length 1) of terms, and those of terms of many texts."""
-
-    def blob(rows: list) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in rows])
-        kinds = [np.frombuffer(k, np.uint8) for _, k, _ in rows]
-        many = np.concatenate(kinds) > 3
-        terms, of, count = np.unique(keys, return_inverse=True, return_counts=True)
-        sums, at = np.zeros((len(terms), DIM), np.int64), 0
-        for kind, (_, _, data) in zip(kinds, rows):
-            sums[of[at : at + len(kind)]] += unpacked(kind & 3, data)  # a row has a term once
-            at += len(kind)
-        several = count > 1
-        several[of[many]] = True
-        v = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
-        row = len(terms), v.sum(axis=0).tobytes(), terms[several].tobytes(), v[several].astype(np.float16).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["n", "total", "keys", "vectors"])
+        for some in _portions(encoded(batch["text"])):
+            found.add(*terms(some))
+            if found.tokens > TOKENS:
+                yield found.parts()
+                found.clear()
+    if found.tokens:
+        yield found.parts()
 
-    rows, last = [], None
-    for batch in batches:
-        for bucket, *cells in zip(*(batch[c] for c in ("bucket", "keys", "kinds", "sums"))):
-            if rows and bucket.as_py() != last:
-                yield blob(rows)
-                rows = []
-            last = bucket.as_py()
-            rows.append([c.as_py() for c in cells])
-    if rows:
-        yield blob(rows)
 
+PARTIAL = "part int, rows binary, kinds binary, sums binary"
+SUMMED = "part int, met binary, vectors binary"
 
-@dataclass
-class Vectors:
-    """Contexts of shapes and of words that stand in more than one text, less the mean of all terms' contexts."""
 
-    keys: np.ndarray  # sorted
-    rows: np.ndarray  # of numbers, for each key
-    numbers: np.ndarray  # int8
-    scale: np.ndarray
-    mean: np.ndarray
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From PARTIAL sorted by part: which rows have been met, and their contexts with length 1."""
+    names = ["part", "met", "vectors"]
 
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vectors, whether each is known); zero where not."""
-        out, known = np.zeros((len(keys), DIM), np.float32), np.zeros(len(keys), bool)
-        if len(self.keys):
-            at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
-            known = self.keys[at] == keys
-            row = self.rows[at[known]]
-            out[known] = self.numbers[row] * self.scale[row, None]
-        return out, known
+    def row(part: int, sums: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+        v = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([met.tobytes()]), pa.array([v.astype("<f2").tobytes()])], names=names)
+
+    last, sums, met = None, None, None
+    for batch in batches:
+        for part, rows, kinds, data in zip(batch["part"].to_pylist(), batch["rows"], batch["kinds"], batch["sums"]):
+            if part != last:
+                if last is not None:
+                    yield row(last, sums, met)
+                size = len(range(part, ROWS, PARTS))
+                last, sums, met = part, np.zeros((size, DIM), np.int64), np.zeros(size, bool)
+            at = np.frombuffer(rows.as_buffer(), "<u4")
+            sums[at] += unpacked(np.frombuffer(kinds.as_buffer(), np.uint8), data.as_buffer())
+            met[at] = True
+    if last is not None:
+        yield row(last, sums, met)
 
 
-def no_vectors() -> Vectors:
-    return Vectors(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty((0, DIM), np.int8), np.empty(0, np.float32), np.zeros(DIM))
+def no_vectors() -> np.ndarray:
+    return np.zeros((ROWS, DIM), np.int16)
 
 
-def word_vectors(docs: DataFrame) -> Vectors:
-    """Context vectors of the terms of all documents: summed up per task, then by term."""
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """Vectors of all rows, in units of UNIT: their contexts in all documents, less the mean of all; zero where none was met."""
     sums = docs.select("text").mapInArrow(_partial, PARTIAL)
-    blobs = written(sums.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_blobs, BLOBS), "contexts")
-    size = blobs.select("n", "total", (F.octet_length("keys") / 8).cast("long").alias("k")).collect()
-    if not size:
-        return no_vectors()
-    # The shared direction of all contexts says nothing; what is left is what tells terms apart.
-    mean = np.sum(sorted(np.frombuffer(r["total"]).tolist() for r in size), axis=0) / sum(r["n"] for r in size)
-    n = sum(r["k"] for r in size)
-    keys, numbers, scale, at = np.empty(n, np.uint64), np.empty((n, DIM), np.int8), np.empty(n, np.float32), 0
-    for r in blobs.select("keys", "vectors").toLocalIterator():
-        k = np.frombuffer(r["keys"], np.uint64)
-        v = np.frombuffer(r["vectors"], np.float16).reshape(-1, DIM).astype(np.float64) - mean
-        some, at = slice(at, at + len(k)), at + len(k)
-        keys[some], scale[some] = k, np.maximum(np.abs(v).max(axis=1, initial=0), 1e-9) / 127
-        numbers[some] = np.rint(v / scale[some, None])
-    rows = np.argsort(keys)
-    return Vectors(keys[rows], rows.astype(np.int32), numbers, scale, mean)
-
-
-# ---------------------------------------------------------------- a text's vector
-class _Pool(dict):
-    """word -> its number in this task. A word that isn't among the vectors stands in one text: its context is taken from there."""
-
-    def __init__(self, vectors: Vectors):
-        super().__init__()
-        self.vectors = vectors
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.new, self.shapes = [], {SAME: 0}
-        self.word, self.shape, self.known = np.empty((0, DIM), np.float32), np.empty(0, np.int64), np.empty(0, bool)
-        self.key, self.shape_key, self.of_shape, self.size = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty((0, DIM), np.float32), 0
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self)
-        self.new.append((term_key(word.lower()), self.shapes.setdefault(shape(word), len(self.shapes))))
-        return out
-
-    def settle(self) -> None:
-        n = self.size + len(self.new)
-        if n > len(self.key):
-            for name in ("word", "shape", "known", "key"):
-                old = getattr(self, name)
-                grown = np.zeros((max(2 * n, 4096), *old.shape[1:]), old.dtype)
-                grown[: len(old)] = old
-                setattr(self, name, grown)
-        if self.new:
-            some = slice(self.size, n)
-            self.key[some], self.shape[some] = np.array([k for k, _ in self.new], np.uint64), [s for _, s in self.new]
-            self.word[some], self.known[some] = self.vectors.get(self.key[some])
-            self.new, self.size = [], n
-        if len(self.shapes) > len(self.shape_key):
-            more = np.array([term_key(s) for s in list(self.shapes)[len(self.shape_key) :]], np.uint64)
-            self.shape_key = np.r_[self.shape_key, more]
-            self.of_shape = np.concatenate([self.of_shape, self.vectors.get(more)[0]])
-
-    def pooled(self, text: str | None) -> np.ndarray:
-        if len(self) > 200_000:
-            self.forget()
-        out = np.zeros(2 * DIM, np.float32)
-        words = text.encode("utf-8", "surrogatepass").split() if text else []
-        if not words:
-            return out
-        u = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        self.settle()
-        b = self.shape[u]
-        b[1:][u[1:] == u[:-1]] = 0
-        for at in range(0, len(u), 50_000):
-            out[:DIM] += self.word[u[at : at + 50_000]].sum(axis=0)
-        out[DIM:] = np.bincount(b, minlength=len(self.of_shape)) @ self.of_shape
-        if len(own := np.flatnonzero(~self.known[u])):
-            out[:DIM] += self.local(u, b, own)
-        return out / len(words)
-
-    def local(self, u: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The sum of the vectors of the words at the places ``own``, by their contexts in this text alone."""
-        terms, of, count = np.unique(self.key[u[own]], return_inverse=True, return_counts=True)
-        context = np.zeros((len(terms), DIM), np.int32)
-        for at in range(0, len(own), 20_000):
-            p = own[at : at + 20_000]
-            around = index_vectors(self.shape_key[b[p]]).astype(np.int32)
-            for k in (*range(-REACH, 0), *range(1, REACH + 1)):
-                there = (p + k >= 0) & (p + k < len(u))
-                q = p[there] + k
-                around[there] += index_vectors(self.key[u[q]]).astype(np.int32) + index_vectors(self.shape_key[b[q]])
-            np.add.at(context, of[at : at + 20_000], around)
-        v = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6) - self.vectors.mean
-        return count @ v
+    summed = written(sums.repartition("part").sortWithinPartitions("part").mapInArrow(_summed, SUMMED), "contexts")
+    v, met = np.zeros((ROWS, DIM)), np.zeros(ROWS, bool)
+    for r in summed.toLocalIterator():  # PARTS rows
+        met[r["part"] :: PARTS] = np.frombuffer(r["met"], bool)
+        v[r["part"] :: PARTS] = np.frombuffer(r["vectors"], "<f2").astype(float).reshape(-1, DIM)
+    if met.any():
+        # The shared direction of all contexts says nothing; what is left is what tells terms apart.
+        v[met] -= v[met].mean(axis=0)
+    return np.rint(v / UNIT).clip(-32_767, 32_767).astype(np.int16)
+
+
+# ---------------------------------------------------------------- texts' vectors
+def pooled(vectors: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The means of the vectors of each text's words and shapes: a row for each text. Sums are of integers, so equal texts have equal rows."""
+    out = np.zeros((len(texts), 2 * DIM), np.float32)
+    done = 0
+    for some in _portions(texts):
+        word, shape, count = terms(some)
+        of = np.repeat(np.arange(len(some)), count)
+        total = np.zeros((len(some), 2 * DIM), np.int64)
+        for at in range(0, len(of), CHUNK):
+            part = slice(at, at + CHUNK)
+            first = np.flatnonzero(np.r_[True, of[part][1:] != of[part][:-1]])
+            for side, u in ((slice(0, DIM), word), (slice(DIM, None), shape)):
+                total[of[part][first], side] += np.add.reduceat(vectors[u[part]].astype(np.int32), first, axis=0)
+        out[done : done + len(some)] = total * UNIT / np.maximum(count, 1)[:, None]
+        done += len(some)
+    return out
 
 
 # ---------------------------------------------------------------- the network
 @dataclass
 class Model:
-    vectors: Broadcast  # of Vectors
+    vectors: Broadcast  # of an array
     centre: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -432,31 +350,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # Without labels of both kinds no score depends on a vector.
     shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs) if len(kinds) > 1 else no_vectors())
 
-    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = _Pool(shared.value)
+    def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [pool.pooled(t.as_py()).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch["place"], batch["quality"]], names=["x", "place", "quality"])
+            x = pooled(shared.value, encoded(batch["text"]))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch["place"], batch["quality"]], names=["x", "place", "quality"])
 
     rows = rows.select("text", "place", F.col("quality").cast("int").alias("quality"))
-    found = sorted(rows.mapInArrow(pooled, "x binary, place long, quality int").collect(), key=lambda r: (r["place"], r["x"]))
+    found = sorted(rows.mapInArrow(vectors_of, "x binary, place long, quality int").collect(), key=lambda r: (r["place"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found], np.float64).reshape(-1, 2 * DIM)
     return fit(x, [int(r["quality"] > 0) for r in found], shared)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a score between 0 and 1: higher where label 1 is likelier. Words' contexts are those of the documents of ``train``."""
-    names = docs.columns
+    plain, text = numbered(docs), docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = _Pool(model.vectors.value)
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 500):
                 some = batch.slice(at, 500)
-                x = np.array([pool.pooled(t.as_py()) for t in some["text"]], np.float32).reshape(-1, 2 * DIM)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(model.scores(x), pa.float64())], names=[*names, column])
+                x = pooled(model.vectors.value, encoded(some[text]))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(model.scores(x), pa.float64())], names=[*some.schema.names, "score"])
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return plain.mapInArrow(rows, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])).toDF(*docs.columns, column)
 
 
 def held_out(doc_id: str = "doc_id"):

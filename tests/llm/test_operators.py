@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables with nulls, ties, repeated rows, empty and long texts."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -416,64 +417,72 @@ def test_classifier(spark, none):
     assert {r.score for r in quality_classifier.classify(docs.limit(5).union(docs.select("doc_id", F.lit(None))), labels.limit(0)).collect()} == {0.5}
 
 
-def contexts_by_plain_loops(texts):
-    """term -> context of length 1 less the mean of all."""
-    qc, sums = quality_classifier, {}
+def shape_by_patterns(word):
+    for pattern, to in ((rb"[A-Z]+", b"A"), (rb"[a-z\x80-\xff]+", b"a"), (rb"[0-9]+", b"0"), (rb"([^Aa0])\1+", rb"\1\1")):
+        word = re.sub(pattern, to, word)
+    return word
 
-    def index(term):
-        out, h = np.zeros(qc.DIM), qc.term_key(term)
-        for k in range(8):
-            out[(h >> 8 * k + 1) % qc.DIM] += 1 if h >> 8 * k & 1 else -1
-        return out
 
+def test_terms(rows, monkeypatch):
+    texts = [(t or "").encode() for _, t in rows] + [b"A1b2 ### a###b a##b 12--34 1-2 A a aa \xc3\xa9a", b"x", b""]
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(quality_classifier, "_PIECE", piece)
+        word, shape, count = quality_classifier.terms(texts)
+        assert count.tolist() == [len(t.split()) for t in texts]
+        words = [w for t in texts for w in t.split()]
+        row_of, shape_of, at = {}, {}, 0
+        for t in texts:
+            for i, w in enumerate(t.split()):
+                assert row_of.setdefault(w.lower(), word[at]) == word[at] < quality_classifier.WORDS
+                if i and t.split()[i - 1].lower() == w.lower():
+                    assert shape[at] == quality_classifier.SAME
+                else:
+                    assert shape_of.setdefault(shape_by_patterns(w), shape[at]) == shape[at] > quality_classifier.SAME, w
+                at += 1
+        assert at == len(words) and len(set(shape_of.values())) > 0.9 * len(shape_of) and len(set(row_of.values())) > 0.95 * len(row_of)
+
+
+def contexts_by_plain_loops(texts):
+    """row -> sum of contexts"""
+    index, sums = quality_classifier.index_vectors().astype(int), {}
     for t in texts:
-        words = (t or "").encode().split()
-        terms = [(w.lower(), qc.SAME if i and words[i - 1] == w else qc.shape(w)) for i, w in enumerate(words)]
-        for i, (a, b) in enumerate(terms):
-            around = index(b) + sum((index(x) + index(y) for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i for x, y in [terms[j]]), np.zeros(qc.DIM))
-            for term in (a, b):
-                sums[term] = sums.get(term, 0) + around
-    found = {k: v / max(np.linalg.norm(v), 1e-6) for k, v in sums.items()}
-    if qc.SAME not in found:
-        found[qc.SAME] = np.zeros(qc.DIM)
-    mean = sum(found.values()) / len(found)
-    return {k: v - mean for k, v in found.items()}
-
-
-def pooled_by_plain_loops(text, vectors):
-    words = (text or "").encode().split()
-    shapes = [quality_classifier.SAME if i and words[i - 1] == w else quality_classifier.shape(w) for i, w in enumerate(words)]
-    n = max(len(words), 1)
-    return np.r_[sum((vectors[w.lower()] for w in words), np.zeros(quality_classifier.DIM)) / n, sum((vectors[s] for s in shapes), np.zeros(quality_classifier.DIM)) / n]
-
-
-def test_contexts_of_all_documents(spark, docs, rows):
-    texts = [t for _, t in rows]
-    expected = contexts_by_plain_loops(texts)
-    pool = quality_classifier._Pool(quality_classifier.word_vectors(docs))
-    for t in texts:
-        assert np.abs(pool.pooled(t) - pooled_by_plain_loops(t, expected)).max() < 0.01, t
+        word, shape, _ = quality_classifier.terms([(t or "").encode()])
+        for i in range(len(word)):
+            around = index[shape[i]] + sum((index[word[j]] + index[shape[j]] for j in range(max(0, i - 2), min(len(word), i + 3)) if j != i), np.zeros(quality_classifier.DIM, int))
+            for row in (word[i], shape[i]):
+                sums[row] = sums.get(row, 0) + around
+    return sums
 
 
-@pytest.mark.parametrize("terms,chunk", [(40, 64), (400_000, 16), (400_000, 16_384)])
-def test_contexts_in_parts(rows, monkeypatch, terms, chunk):
-    monkeypatch.setattr(quality_classifier, "TERMS", terms)
+@pytest.mark.parametrize("chunk", [16, 8192])
+def test_contexts(rows, monkeypatch, chunk):
     monkeypatch.setattr(quality_classifier, "CHUNK", chunk)
     texts = [t for _, t in rows]
     batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 5], pa.string())], names=["text"]) for i in range(0, len(texts), 5)]
-    sums = pa.Table.from_batches(quality_classifier._partial(iter(batches))).sort_by("bucket").combine_chunks()
-    blobs = [r for b in quality_classifier._blobs(iter(sums.to_batches(max_chunksize=7))) for r in b.to_pylist()]
-    expected = contexts_by_plain_loops(texts)
-    mean = sum(np.frombuffer(r["total"]) for r in blobs) / sum(r["n"] for r in blobs)
-    got = {int(k): v - mean for r in blobs for k, v in zip(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["vectors"], np.float16).astype(float).reshape(-1, quality_classifier.DIM))}
-    places = {}
-    for i, t in enumerate(texts):
-        for w in (t or "").encode().lower().split():
-            places.setdefault(w, set()).add(i)
-    assert sum(r["n"] for r in blobs) == len(expected)
-    for term, v in expected.items():
-        if term[:1] == b"\0" or len(places[term]) > 1:
-            assert np.abs(got[quality_classifier.term_key(term)] - v).max() < 2e-3, term
+    parts = [b for some in (batches[:2], batches[2:]) for b in quality_classifier._partial(iter(some))]
+    summed = pa.Table.from_batches(parts).sort_by("part").combine_chunks()
+    expected, got = contexts_by_plain_loops(texts), {}
+    for batch in quality_classifier._summed(iter(summed.to_batches(max_chunksize=7))):
+        for r in batch.to_pylist():
+            v = np.frombuffer(r["vectors"], "<f2").astype(float).reshape(-1, quality_classifier.DIM)
+            got |= {int(i) * quality_classifier.PARTS + r["part"]: v[i] for i in np.flatnonzero(np.frombuffer(r["met"], bool))}
+    assert set(got) == set(expected)
+    for row, v in expected.items():
+        assert np.abs(got[row] - v / max(np.linalg.norm(v), 1e-6)).max() < 2e-3
+
+
+def test_pooled_vectors(spark, docs, rows, monkeypatch):
+    vectors = quality_classifier.word_vectors(docs)
+    texts = [(t or "").encode() for _, t in rows]
+    for chunk in (16, 8192):
+        monkeypatch.setattr(quality_classifier, "CHUNK", chunk)
+        got = quality_classifier.pooled(vectors, texts)
+        for t, x in zip(texts, got):
+            word, shape, _ = quality_classifier.terms([t])
+            mean = [vectors[u].astype(float).sum(axis=0) * quality_classifier.UNIT / max(len(word), 1) for u in (word, shape)]
+            assert np.abs(x - np.concatenate(mean)).max() < 1e-5
+        assert (got[0] == got[1]).all()  # equal texts
+    assert np.abs(vectors[list(contexts_by_plain_loops([t for _, t in rows]))].astype(float)).max() > 1000
 
 
 def test_packed_integers():
