@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpress.llm.common import written
@@ -14,43 +14,78 @@ from fieldpress.llm.substring_dedup import remove_repeats
 from fieldpress.llm.tokens import vocabulary
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under its threshold go."""
+    """Documents that the classifier scores under its threshold go.
+
+    Null and empty texts are scored like others; equal rows get equal scores; rows without a doc_id are scored but not learned
+    from; without labels all scores are 0.5 and all rows stay; an empty table stays empty; any other columns are kept as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.filter(~held_out()))
-    return with_scores(docs, model, "quality_score_").filter(F.col("quality_score_") >= THRESHOLD).drop("quality_score_")
+    score = _free(docs, "quality_score")
+    return with_scores(docs, model, score).filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays; rows without a doc_id have no class and stay."""
+    """Of each class of near duplicates the document with the smallest doc_id stays.
+
+    Of several rows with that doc_id the one with the smallest text hash stays. Rows without a doc_id have no class and stay; null
+    and empty texts are linked with nothing; an empty table stays empty; any other columns are kept as they are.
+    """
     classes = written(ngram_classes(docs), "classes")
     others = classes.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti")
     twice = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if twice.isEmpty():  # the rule: then no row has to be looked at for its doc_id again
-        return kept.select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    one = kept.join(twice, "doc_id", "left_semi").withColumn("row_", first).filter("row_ = 1").drop("row_")
-    return kept.join(twice, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
+        return kept.select(*map(_column, docs.columns))
+    # Of rows with one doc_id: by hash of text and then of the row, in aggregates that are summed up before they meet.
+    names, plain = [_column(c) for c in docs.columns], [_column(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = kept.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("k"), F.struct(*names).alias("row"), F.xxhash64("text").alias("t"), F.xxhash64(*plain).alias("h"))
+    one = one.groupBy("k").agg(F.min_by("row", F.struct("t", "h")).alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return kept.join(twice, "doc_id", "left_anti").select(*names).unionByName(one)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document has are cut; a document with nothing left goes."""
+    """Passages of 50 words and more that an earlier document has are cut; a document with nothing left goes.
+
+    Empty and short texts lose nothing and stay, null ones as empty; rows without a doc_id neither give nor take; rows that share a doc_id are
+    one document; n_chars follows the text where it is cut; an empty table stays empty; any other columns are kept as they are.
+    """
     rest = [c for c in docs.columns if c != "text"]
     found = remove_repeats(docs, carry=rest).filter("n_removed = 0 OR n_removed < n_words")
-    columns = {c: F.col(f"rest.`{c}`") for c in rest} | {"text": F.col("kept_text")}
+    columns = {c: F.col("rest")[c] for c in rest} | {"text": F.col("kept_text")}
     if "n_chars" in rest:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(columns["n_chars"])
     return found.select(*(columns[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none; equal rows share their fate; an empty table or benchmark changes nothing; any other columns
+    are kept as they are.
+    """
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in sequences of 4096 tokens."""
+    """The place of each piece of each document in sequences of 4096 tokens.
+
+    Null and empty texts are one end id; rows without a doc_id, or with one that others have, are packed like all others; an empty
+    table gives no rows; other columns are not looked at.
+    """
     return pack(docs, vocabulary())
 
 
