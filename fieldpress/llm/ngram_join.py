@@ -11,7 +11,7 @@
 5. Prefix tree (``trie``): in groups that still hold several classes, heads in the global order make a tree, and members
    outside the group's largest class walk it: partial overlaps are shared below a node, subtrees whose remaining lengths
    can't reach the overlap needed are pruned, and a pair is met only in the group of its first common n-gram. Large groups
-   are cut into blocks: each block is a task's, and only those outside the largest class go to all of them.
+   are cut into blocks of members and blocks of those that walk, and each pair of blocks is a task's.
 6. What the tree leaves is verified on whole lists; links and equal sets make classes by ``connected_components``.
 
 N-grams that a large share of all sets has would crowd a bucket: those that stand out in a task's part are counted apart,
@@ -19,8 +19,8 @@ the most frequent of them (at most ``1 / HOT_SHARE``) are known to all tasks and
 
 Defined cases: without words or text a set is empty and linked with nothing; with fewer words than n the whole
 sequence is one shingle; a row without doc_id gets a null component and links nothing; rows that share a doc_id
-are one document; equal rows each give a row; other columns of the input are not looked at. N-grams and sets are
-named by 64 bits of hash.
+are one document; equal rows each give a row; other columns of the input are not looked at. Sets are named by 64 bits
+of hash, n-grams by 48 and their bucket.
 """
 
 from __future__ import annotations
@@ -39,13 +39,13 @@ from .components import connected_components
 from .trie import Trie, needed
 
 #: N-grams that a task holds before it sends them, and that a bucket has on average.
-CHUNK, BUCKET = 1 << 20, 1 << 20
+CHUNK, BUCKET = 1 << 20, 1 << 19
 #: Sets that a task remembers, so as not to send copies again.
 SEEN = 100_000
 #: An n-gram that this share of all n-grams in sets is, and so many sets have, doesn't go through its bucket.
 HOT_SHARE, HOT_SETS = 1 / (1 << 20), 1 << 16
-#: Members of a block of a group.
-BLOCK = 2048
+#: Members of a block of a group: a task has one block of members and one of those that walk.
+BLOCK = 256
 _LOW = np.uint64((1 << 44) - 1)
 _MOST = (1 << 19) - 1
 
@@ -142,7 +142,7 @@ def _entries(n: int, num: int, den: int, buckets: int, hot: np.ndarray):
 
         def add(bucket: int, g: np.ndarray, o: np.ndarray) -> None:
             own, place = np.unique(o, return_inverse=True)
-            out.append((bucket, g.tobytes(), place.astype("<u4" if len(own) > 65_535 else "<u2").tobytes(), a[own].tobytes(), sizes[own].astype("<i4").tobytes()))
+            out.append((bucket, g.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), place.astype("<u4" if len(own) > 65_535 else "<u2").tobytes(), a[own].tobytes(), sizes[own].astype("<i4").tobytes()))
 
         if len(hot):
             apart = np.isin(grams, hot)
@@ -197,6 +197,9 @@ SHARED = "part int, sets binary, sizes binary, counts binary, grams binary, dfs
 def _shared(buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
     """SHARED: n-grams that several sets have, with the number of sets, dealt out by set."""
     names = ["part", "sets", "sizes", "counts", "grams", "dfs"]
+    # Those that go by themselves are known by their lower 48 bits.
+    by = np.argsort(hot & np.uint64((1 << 48) - 1), kind="stable")
+    short, rank = (hot & np.uint64((1 << 48) - 1))[by], np.argsort(np.argsort(hot_sets, kind="stable"))[by]
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         a, size, gram, df = (np.concatenate(c) for c in zip(*held))
@@ -211,11 +214,15 @@ def _shared(buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, m = [], 0
         for some in _grouped(batches):
-            gram = np.concatenate([np.frombuffer(r[1], np.uint64) for r in some])
+            low = np.frombuffer(b"".join(r[1] for r in some), np.uint8).reshape(-1, 6)
+            gram = np.zeros((len(low), 8), np.uint8)
+            gram[:, :6] = low
+            gram = gram.view(np.uint64).ravel()
             of = [np.frombuffer(r[2], "<u2" if len(r[3]) <= 8 * 65_535 else "<u4") for r in some]
             a = np.concatenate([np.frombuffer(r[3], np.uint64)[o] for r, o in zip(some, of)])
             size = np.concatenate([np.frombuffer(r[4], "<i4")[o] for r, o in zip(some, of)])
             if some[0][0] < buckets:
+                gram |= np.uint64(some[0][0] & 0xFFFF) << np.uint64(48)
                 order = np.lexsort((a, gram))
                 gram, a, size = gram[order], a[order], size[order]
                 new = np.r_[True, (gram[1:] != gram[:-1]) | (a[1:] != a[:-1])]  # a set that several tasks have sent counts once
@@ -225,7 +232,7 @@ def _shared(buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
                 df = np.repeat(count, count).astype("<i4")
                 gram, a, size, df = gram[df > 1], a[df > 1], size[df > 1], df[df > 1]
             else:
-                df = np.full(len(gram), _MOST, "<i4") - (len(hot) - 1 - np.argsort(np.argsort(hot_sets, kind="stable"))[np.searchsorted(hot, gram)]).clip(max=_MOST // 2).astype("<i4")
+                df = np.full(len(gram), _MOST, "<i4") - (len(hot) - 1 - rank[np.searchsorted(short, gram)]).clip(max=_MOST // 2).astype("<i4")
             if len(gram):
                 held.append((a, size, gram, df))
                 m += len(gram)
@@ -305,18 +312,18 @@ def _links(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _walks(num: int, den: int):
-    """From members sorted by (token, block): pairs of different classes that may link."""
-    names = ["token", "block", "a", "label", "walks", "own", "n", "shared", "head"]
+    """From members sorted by (token, block, part): pairs of different classes that may link."""
+    names = ["token", "block", "part", "a", "label", "outside", "own", "n", "shared", "head"]
 
     def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         token = rows[0][0]
-        a, label, walks, own, n, shared = (np.array(c) for c in list(zip(*rows))[2:8])
-        heads = [np.sort(np.frombuffer(r[8], np.int64)) for r in rows]
+        a, label, outside, own, n, shared = (np.array(c) for c in list(zip(*rows))[3:9])
+        heads = [np.sort(np.frombuffer(r[9], np.int64)) for r in rows]
         tree = Trie(heads, n.astype(np.int64), shared - np.array([len(h) for h in heads]))
-        a, label, walks, own = a[tree.order], label[tree.order], walks[tree.order], own[tree.order]
+        a, label, outside, own = a[tree.order], label[tree.order], outside[tree.order], own[tree.order]
         out = []
-        for x, y, _ in tree.walk(np.flatnonzero(walks), num, den, token):
-            good = own[y] & (label[x] != label[y]) & (~walks[y] | (a[x] < a[y]))
+        for x, y, _ in tree.walk(np.flatnonzero(~own), num, den, token):
+            good = own[y] & (label[x] != label[y]) & (~outside[y] | (a[x] < a[y]))  # of two that walk one is enough
             out.append((a[x[good]], a[y[good]]))
         return tuple(np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*out) if out else ((), ())))
 
@@ -325,7 +332,7 @@ def _walks(num: int, den: int):
         for batch in batches:
             out = []
             for r in zip(*(batch[c].to_pylist() for c in names)):
-                if held and r[:2] != held[0][:2]:
+                if held and r[:3] != held[0][:3]:
                     out.append(pairs(held))
                     held = []
                 held.append(r)
@@ -342,15 +349,18 @@ def _walks(num: int, den: int):
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, block, a, label, walks, own): members of groups of several classes, in blocks; those outside the largest class in all blocks."""
+    """(token, block, part, a, label, outside, own): members of groups of several classes (own), and again those outside the largest class, which walk."""
     members = members.join(labels.select(F.col("node").alias("a"), "root"), "a", "left").select("token", "a", F.coalesce("root", "a").alias("label"))
     classes = members.groupBy("token", "label").agg(F.count("*").alias("k"))
-    groups = classes.groupBy("token").agg(F.sum("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("classes"))
-    groups = written(groups.filter("classes > 1").select("token", "major", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "open")
-    some = members.join(groups, "token").withColumn("walks", F.col("label") != F.col("major"))
-    some = some.withColumn("home", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
-    reach = F.when(F.col("walks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    return some.withColumn("block", F.explode(reach)).select("token", "block", "a", "label", "walks", (F.col("block") == F.col("home")).alias("own"))
+    groups = classes.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("classes"))
+    blocks, parts = F.ceil(F.col("k") / BLOCK).cast("int"), F.ceil((F.col("k") - F.col("most")) / BLOCK).cast("int")
+    groups = written(groups.filter("classes > 1").select("token", "major", blocks.alias("blocks"), parts.alias("parts")), "open")
+    some = members.join(groups, "token").withColumn("outside", F.col("label") != F.col("major"))
+    some = written(some.withColumns({"block": F.pmod(F.xxhash64("a"), "blocks").cast("int"), "part": F.pmod(F.xxhash64("a", F.lit(1)), "parts").cast("int")}), "grouped")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = some.withColumn("part", each("parts")).withColumn("own", F.lit(True))
+    walk = some.filter("outside").withColumn("block", each("blocks")).withColumn("own", F.lit(False))
+    return own.unionByName(walk).select("token", "block", "part", "a", "label", "outside", "own")
 
 
 def set_links(docs: DataFrame, total: int, hot: list, n: int, num: int, den: int) -> DataFrame:
@@ -373,8 +383,8 @@ def set_links(docs: DataFrame, total: int, hot: list, n: int, num: int, den: int
     stars = best.unionByName(rest.filter("k = 2").select("a", F.col("centre.a").alias("y"))).withColumnRenamed("a", "x").distinct()
     links = written(_links(written(stars, "stars"), lists, num, den), "links")
     walkers = _open(members.filter("k > 2"), connected_components(links.toDF("a", "b")))
-    walkers = walkers.join(lists.select("a", "n", "shared", "head"), "a").select("token", "block", "a", "label", "walks", "own", "n", "shared", "head")
-    near = walkers.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_walks(num, den), "x long, y long")
+    walkers = walkers.join(lists.select("a", "n", "shared", "head"), "a").select("token", "block", "part", "a", "label", "outside", "own", "n", "shared", "head")
+    near = walkers.repartition("token", "block", "part").sortWithinPartitions("token", "block", "part").mapInArrow(_walks(num, den), "x long, y long")
     near = written(near, "near")
     return links.unionByName(written(_links(near, lists, num, den), "links"))
 

@@ -187,7 +187,7 @@ def classes_by_brute_force(rows, n, num, den):
     return [(i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets)]
 
 
-@pytest.mark.parametrize("n,num,block", [(3, 90, 2048), (5, 80, 1)])
+@pytest.mark.parametrize("n,num,block", [(3, 90, 256), (5, 80, 1)])
 def test_ngram_classes(docs, rows, none, monkeypatch, n, num, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = [tuple(r) for r in ngram_join.ngram_classes(docs, n, num, 100).collect()]
@@ -195,7 +195,7 @@ def test_ngram_classes(docs, rows, none, monkeypatch, n, num, block):
     assert ngram_join.ngram_classes(none).count() == 0
 
 
-@pytest.mark.parametrize("block,hot,n,num", [(2048, 1 << 16, 3, 90), (7, 3, 5, 80)])
+@pytest.mark.parametrize("block,hot,n,num", [(256, 1 << 16, 3, 90), (7, 3, 5, 80)])
 def test_near_copies_of_many_degrees(spark, monkeypatch, block, hot, n, num):
     """Clusters in which some texts link to a few others only, chains, boilerplate, and shared doc_ids."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
