@@ -1,4 +1,7 @@
-"""Packed missing masks: run lengths if strictly smaller, else 8 cells a byte, lowest bit first."""
+"""Packed missing masks: run lengths if strictly smaller, else 8 cells a byte, lowest bit first.
+
+A bit mask whose first bytes happen to spell the magic of run lengths would be taken for them, so it is written as run lengths.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +20,7 @@ def pack_mask(missing: np.ndarray) -> bytes:
     edges = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1], True])
     runs = RLE_MAGIC + bytes([int(flat[0])]) + varint_pack(np.diff(edges))
     bits = np.packbits(flat, bitorder="little").tobytes()
-    return runs if len(runs) < len(bits) else bits
+    return runs if len(runs) < len(bits) or bits.startswith(RLE_MAGIC) else bits
 
 
 def unpack_mask(data: bytes, n: int) -> np.ndarray:
@@ -25,7 +28,7 @@ def unpack_mask(data: bytes, n: int) -> np.ndarray:
         if len(data) < 5:
             raise ValueError("truncated run-length mask")
         body = data[5:]
-        count = sum(b < 128 for b in body)
+        count = int(np.count_nonzero(np.frombuffer(body, np.uint8) < 128))
         if body and body[-1] >= 128:
             raise ValueError("bad varint in run-length mask")
         runs = varint_unpack(body, count).astype(np.int64)

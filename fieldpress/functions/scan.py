@@ -7,8 +7,6 @@ steps instead of T * H * W, with sums in the fixed order of a cell-by-cell walk,
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 #: Weights of left, top, top-left, top-right and earlier; the prediction where none is available.
@@ -17,64 +15,83 @@ COLD = 32.0
 CLAMP = float(2**31 - 1)
 
 
-@lru_cache(maxsize=4)
-def _fronts(shape: tuple[int, int, int]) -> list[np.ndarray]:
-    """Places in a grid padded by one cell on three sides (flat), in order of w."""
-    t, h, w = shape
-    at = np.arange(t)[:, None, None] + 2 * np.arange(h)[:, None] + np.arange(w)
-    flat = (np.arange(1, t + 1)[:, None, None] * (h + 1) + np.arange(1, h + 1)[:, None]) * (w + 2) + np.arange(1, w + 1)
-    order = np.argsort(at, axis=None, kind="stable")
-    return np.split(flat.ravel()[order], np.cumsum(np.bincount(at.ravel()))[:-1])
-
-
-def _walk(shape: tuple[int, int, int], missing: np.ndarray, settle) -> np.ndarray:
-    """Reconstruction; ``settle(places, predicted)`` gives the new values of the cells at padded places."""
-    t, h, w = shape
-    state = np.zeros((t + 1) * (h + 1) * (w + 2))
-    gone = np.ones((t + 1, h + 1, w + 2), bool)
-    gone[1:, 1:, 1:-1] = missing
-    gone = gone.ravel()
-    row, plane = w + 2, (h + 1) * (w + 2)
-    for front in _fronts(shape):
-        here = front[~gone[front]]
-        if not len(here):
-            continue
-        total, weight = np.zeros(len(here)), np.zeros(len(here))
-        for back, factor in zip((1, row, row + 1, row - 1, plane), WEIGHTS):
-            near = state[here - back]
-            there = near != 0.0  # a value of zero counts as not available
-            total = total + np.where(there, factor * near, 0.0)
-            weight = weight + np.where(there, factor, 0.0)
-        predicted = np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), COLD)
-        state[here] = settle(here, predicted)
-    return state.reshape(t + 1, h + 1, w + 2)[1:, 1:, 1:-1]
-
-
-def _padded(values: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
-    out = np.zeros((shape[0] + 1, shape[1] + 1, shape[2] + 2), values.dtype)
-    out[1:, 1:, 1:-1] = values
-    return out.ravel()
+class Fronts:
+    """The cells that are there in order of w = t + 2y + x: ``order`` has their C-order numbers, ``places`` theirs in a grid padded by one cell on three sides (flat)."""
+
+    def __init__(self, missing: np.ndarray):
+        t, h, w = self.shape = missing.shape
+        at = np.flatnonzero(~missing.ravel()).astype(np.int32 if missing.size < 1 << 31 else np.int64)
+        rows = at // w
+        x, days = at - rows * w, rows // h
+        y = rows - days * h
+        front = days + 2 * y + x
+        # A radix sort where numbers are short.
+        self.order = np.argsort(front.astype(np.uint16) if t + 2 * h + w < 65_536 else front, kind="stable")
+        places = ((days.astype(np.int64) + 1) * (h + 1) + y + 1) * (w + 2) + x + 1
+        self.places, self.ends = places[self.order], np.cumsum(np.bincount(front))
+
+    def walk(self, settle) -> np.ndarray:
+        """Values of the cells in C order; ``settle(slice, predicted)`` gives those of a slice of ``order``. Cells that aren't there are zero."""
+        t, h, w = self.shape
+        state = np.zeros((t + 1) * (h + 1) * (w + 2))
+        row, plane, begin = w + 2, (h + 1) * (w + 2), 0
+        for end in self.ends.tolist():
+            here, some, begin = self.places[begin:end], slice(begin, end), end
+            total, weight = np.zeros(len(here)), np.zeros(len(here))
+            for back, factor in zip((1, row, row + 1, row - 1, plane), WEIGHTS):
+                near = state[here - back]
+                # A value of zero counts as not available, and adds nothing.
+                weight += (near != 0.0) * factor
+                near *= factor
+                total += near
+            cold = weight == 0
+            weight[cold] = 1.0
+            total /= weight
+            total[cold] = COLD
+            state[here] = settle(some, total)
+        out = np.empty(len(self.order))
+        out[self.order] = state[self.places]
+        return out
+
+
+def encode_valid(valid: np.ndarray, missing: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, float64 reconstruction) of the valid cells, given and returned in C order."""
+    fronts, inverse = Fronts(missing), 1.0 / step
+    data = valid.astype(np.float64)[fronts.order]
+    found = np.empty(len(data))
+
+    def settle(some: slice, predicted: np.ndarray) -> np.ndarray:
+        q = data[some] - predicted
+        q *= inverse
+        q += 0.5
+        np.clip(np.floor(q, out=q), -CLAMP, CLAMP, out=q)
+        found[some] = q
+        return predicted + q * step
 
+    recon = fronts.walk(settle)
+    symbols = np.empty(len(data), np.int64)
+    symbols[fronts.order] = found
+    return symbols, recon
 
-def scan_encode(values: np.ndarray, missing: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of the valid cells in C order, float64 reconstruction with 0.0 where missing)."""
-    shape, inverse = values.shape, 1.0 / step
-    data = _padded(np.where(missing, 0.0, values.astype(np.float64)), shape)
-    symbols = np.zeros(len(data))
 
-    def settle(here: np.ndarray, predicted: np.ndarray) -> np.ndarray:
-        q = np.clip(np.floor((data[here] - predicted) * inverse + 0.5), -CLAMP, CLAMP)
-        symbols[here] = q
-        return predicted + q * step
+def decode_valid(symbols: np.ndarray, missing: np.ndarray, step: float, origin: float = 0.0) -> np.ndarray:
+    """The reconstruction of the valid cells, in C order."""
+    fronts = Fronts(missing)
+    deltas = symbols[fronts.order] * step + origin
+    return fronts.walk(lambda some, predicted: predicted + deltas[some])
 
-    recon = _walk(shape, missing, settle)
-    grid = symbols.reshape(shape[0] + 1, shape[1] + 1, shape[2] + 2)[1:, 1:, 1:-1]
-    return grid[~missing].astype(np.int64), recon
+
+def _spread(valid: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    out = np.zeros(missing.shape)
+    out[~missing] = valid
+    return out
+
+
+def scan_encode(values: np.ndarray, missing: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of the valid cells in C order, float64 reconstruction with 0.0 where missing)."""
+    symbols, recon = encode_valid(values[~missing], missing, step)
+    return symbols, _spread(recon, missing)
 
 
 def scan_decode(symbols: np.ndarray, missing: np.ndarray, step: float, origin: float = 0.0) -> np.ndarray:
-    shape = missing.shape
-    grid = np.zeros(shape)
-    grid[~missing] = symbols
-    deltas = _padded(grid * step + origin, shape)
-    return _walk(shape, missing, lambda here, predicted: predicted + deltas[here])
+    return _spread(decode_valid(symbols, missing, step, origin), missing)

@@ -18,6 +18,8 @@ from .ints import unzigzag_np, varint_pack, varint_unpack, zigzag_np
 BLOCK, SPAN_LIMIT = 2048, 8192
 RAW, RANGE, CTX = 0, 1, 2
 BUCKETS = (1, 8)
+#: Parts of the layout: number of blocks, length of the raw section, context tables, length of a table or stream.
+BLOCKS, SECTION, TABLES, LENGTH = "<I", "Q", "<IqI", "<I"
 
 
 def n_blocks(n: int) -> int:
@@ -35,7 +37,9 @@ def widths(symbols: np.ndarray) -> np.ndarray:
 
 
 def contexts(symbols: np.ndarray) -> np.ndarray:
+    """The magnitude of the symbol before, in three classes; the first symbol of each coding lane has none before it."""
     before = np.abs(np.r_[0, symbols[:-1]].astype(np.int64))
+    before[:: rans.lane_length(len(symbols))] = 0
     return (before > BUCKETS[0]).astype(np.int64) + (before > BUCKETS[1])
 
 
@@ -48,14 +52,15 @@ def context_counts(symbols: np.ndarray) -> np.ndarray | None:
 
 
 def context_size(symbols: np.ndarray) -> float | None:
-    """Estimated bytes of the CTX payload: conditional entropy, 3 bytes for each used entry, and the header."""
+    """Estimated bytes of the CTX payload: conditional entropy, 3 bytes for each used entry, and the layout's fixed parts."""
     counts = context_counts(symbols)
     if counts is None:
         return None
     total = counts.sum(axis=1, keepdims=True)
     p = counts / np.maximum(total, 1)
     bits = -(counts * np.log2(p, where=counts > 0, out=np.zeros_like(p))).sum()
-    return bits / 8 + 4 + len(symbols) // BLOCK + 8 + 4 + 8 + 4 + 12 + 3 * int((counts > 0).sum()) + 4
+    fixed = struct.calcsize(BLOCKS + SECTION) + struct.calcsize(TABLES) + 4 * struct.calcsize(LENGTH)
+    return bits / 8 + fixed + len(symbols) // BLOCK + 3 * int((counts > 0).sum())
 
 
 def _range_choice(pieces: list[np.ndarray], raw_sizes: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import FieldConfig
 from ..functions.container import MODEL_VERSION, ContainerError, read_container, write_container
 from ..functions.masks import pack_mask, unpack_mask
-from ..functions.scan import scan_decode, scan_encode
+from ..functions.scan import decode_valid, encode_valid, scan_encode
 from ..functions.symbols import decode_symbols, encode_symbols, pack_repairs, unpack_repairs
 
 
@@ -55,9 +55,9 @@ class FieldCodec:
         missing = missing_mask(field, c.missing_value)
         valid = field[~missing]
         self._lap("mask")
-        symbols, recon = scan_encode(field, missing, c.step)
+        symbols, recon = encode_valid(valid, missing, c.step)
         self._lap("scan")
-        decoded = recon[~missing].astype(c.np_dtype)
+        decoded = recon.astype(c.np_dtype)
         error = np.abs(valid.astype(np.float64) - decoded.astype(np.float64))
         bad = np.flatnonzero(~(error <= float(c.np_dtype.type(c.effective_bound))))
         error[bad] = 0.0
@@ -102,9 +102,8 @@ def decode_box(box) -> np.ndarray:
     (size,) = struct.unpack_from("<Q", box.residual)
     symbols = decode_symbols(box.residual[8 : 8 + size], int(head["n_valid"]))
     places, values = unpack_repairs(box.residual[8 + size :], head["dtype"])
-    recon = scan_decode(symbols, missing, head["quant_step"], head["origin"])
+    valid = decode_valid(symbols, missing, head["quant_step"], head["origin"]).astype(dtype)
     field = np.full(shape, math.nan if head["missing_value"] == "nan" else head["missing_value"], dtype)
-    valid = recon[~missing].astype(dtype)
     valid[places] = values
     field[~missing] = valid
     return field

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fieldpress.config import FieldConfig, check_bound, check_missing, check_shape, derive_step
-from fieldpress.functions import rans
+from fieldpress.functions import rans, symbols
 from fieldpress.functions.container import ContainerError, read_container, write_container
 from fieldpress.functions.freqs import SCALE, normalize_np
 from fieldpress.functions.ints import unzigzag_np, varint_pack, varint_unpack, zigzag_np
@@ -226,3 +226,24 @@ def test_config():
             FieldConfig.from_config(bad)
     with pytest.raises(ValueError):
         FieldConfig((1, 2), 0.1, dtype="int32")
+
+
+def test_bits_that_spell_the_magic_come_back():
+    bits = np.unpackbits(np.frombuffer(RLE_MAGIC + b"\xa5\x5a\x99", np.uint8), bitorder="little").astype(bool)
+    assert (unpack_mask(pack_mask(bits), len(bits)) == bits).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 2049, 50_000])
+def test_lanes(n):
+    rng = np.random.default_rng(n)
+    s = np.round(rng.laplace(0, 6, n)).astype(np.int64)
+    if n:
+        low = int(s.min())
+        counts = symbols.context_counts(s)
+        tables = np.array([normalize_np(c) for c in counts])
+        data = rans.encode(s - low, tables, symbols.contexts(s))
+        assert (rans.decode(data, n, tables, symbols.BUCKETS, low) + low == s).all()
+        if n > 1024:
+            with pytest.raises(ValueError):
+                rans.decode(data[:-2], n, tables, symbols.BUCKETS, low)
+    assert (symbols.decode_symbols(symbols.encode_symbols(s), n) == s).all()
