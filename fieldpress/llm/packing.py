@@ -3,7 +3,7 @@
 Sequences depend on the pieces' lengths alone, and of those there are at most ``size``. So the driver plans with
 counts per length, whatever the number of documents, and pieces get their places by their rank in their length:
 
-1. large lengths (over size / 8) are put into ``GROUPS`` groups of equal cardinality and rounded up to the largest of each;
+1. large lengths (over size / 4) are put into ``GROUPS`` groups of equal cardinality and rounded up to the largest of each;
 2. the few rounded sizes give a cutting-stock problem, whose linear program is optimised by column generation
    (configurations come from a knapsack); whole numbers of each configuration are used;
 3. actual lengths take the place of the rounded ones, which leaves gaps;
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import encoder, vocabulary
 
-GROUPS = 32
-UNIT = 8
+#: Groups of large lengths, the unit to which the largest of a group is rounded up, and the share of a sequence over which a length is large.
+GROUPS, UNIT, LARGE = 16, 8, 4
 
 
 # ---------------------------------------------------------------- the plan
@@ -68,7 +68,7 @@ class Plan:
     def __init__(self, counts: dict[int, int], size: int):
         self.size, self.gaps, self.by_gap = size, [], {}
         left = dict(counts)
-        large = sorted((n for n in left if size // 8 < n < size), reverse=True)
+        large = sorted((n for n in left if size // LARGE < n < size), reverse=True)
         if len(large) > 1:
             self._group(left, large)
         for n in sorted(left, reverse=True):
@@ -210,7 +210,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) ->
     # A piece's rank in its length: its rank in its task, after those of the tasks before. At most ``size`` rows a task.
     counts = written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(counts.select("length", "part", before.alias("before")), ["length", "part"])
+    # Counts grow with the number of tasks, so they aren't broadcast.
+    ranked = pieces.join(counts.select("length", "part", before.alias("before")).hint("merge"), ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("local") + F.col("before")).drop("part", "local", "before")
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     plan = Plan(lengths, size)
