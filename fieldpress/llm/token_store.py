@@ -7,12 +7,13 @@ that any token is read in a few steps without decoding a block.
 
 Frame, little-endian: ``FPT1``, u32 levels, u64 documents, u64 ids; i64 doc_ids, u8 has-doc_id flags, u64 ends of
 the documents; for each level u64 n, n chunks, ceil(n / 8) bitmap bytes, ceil(n / 512) u64 ranks. A file is
-frames, each followed by one line end. Files are written by Spark's own committing writer and in order of their
-names, so a lost task leaves nothing behind and any store that Spark reaches will do.
+at most ``FRAMES`` frames of about a megabyte, each followed by one line end. Files are written by Spark's own committing writer,
+so a lost task leaves nothing behind and any store that Spark reaches will do. Their order is that of the numbers in
+their names: that of the task, then that of the file within the task.
 
 Defined cases: a null or empty text has the end id alone; rows without doc_id come first and come back
-without one; rows that share a doc_id stand next to each other, in order of their texts' hashes; empty tables make
-no frames and give no rows.
+without one; rows that share a doc_id stand next to each other, in order of their texts' hashes, and may be dealt to
+several files; a text of any length is one document of one frame; empty tables make no frames and give no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ from .tokens import encoder, vocabulary
 MAGIC = b"FPT1"
 HEAD = struct.Struct("<4sIQQ")
 FRAME_IDS = 1 << 18
+#: Frames of a file at most, and bytes of text that a task is given.
+FRAMES, TASK_BYTES = 256, 128 << 20
+#: Files whose sizes are summed up together before those sums are.
+RUN = 4096
 RANK_BITS = 512
 
 
@@ -134,9 +139,13 @@ def _frame_rows(path: str, end_id: int):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> None:
     """Writes the ids of docs (doc_id, text) to ``folder``, ascending by doc_id over the files in order of their names."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    # A doc_id that many rows have (or none) is dealt out by text, and equal rows by their place in the input.
+    order = ["doc_id", F.xxhash64("text"), "place"]
+    docs = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = docs.mapInArrow(_frame_rows(tokenizer, end_id), "frame binary")
-    found.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
+    found.select(F.col("frame").cast("string").alias("value")).write.options(lineSep="\n", maxRecordsPerFile=FRAMES).text(folder)
 
 
 def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +166,15 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the files."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     docs = written(files.mapInArrow(_document_rows, "path string, doc_id long, at long, n_tokens long, ids_crc32 long"), "documents")
-    # One row per file: a running sum over them is all that the files have to agree on.
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
     base = docs.groupBy("path").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = base.select("path", before.alias("before"))
+    base = base.withColumns({"task": number(r"part-(\d+)-[^/]*$"), "file": number(r"-c(\d+)[^/]*$")})
+    base = base.withColumn("run", F.floor(F.col("task") / RUN))
+    runs = base.groupBy("run").agg(F.sum("n").alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("run", earlier(Window.orderBy("run")).alias("before_run"))  # a row for RUN tasks
+    base = base.withColumn("before", earlier(Window.partitionBy("run").orderBy("task", "file"))).join(runs, "run")
+    base = base.select("path", (F.col("before") + F.col("before_run")).alias("before"))
     return docs.join(base, "path").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
