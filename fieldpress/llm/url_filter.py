@@ -2,12 +2,16 @@
 
 Rules are (host, path) pairs: a rule fits its host and all subdomains if the url's path starts with the rule's; of
 those that fit, the longest host, then the longest path, decides. URLs that a rule decides are the labelled ones:
-the trees learn from at most ``SAMPLE`` of them (those with the smallest url hashes; features only are
-fetched, 10 numbers a row) and become one Spark expression, so scoring is a projection that never
-leaves the JVM.
+the trees learn from at most ``SAMPLE`` of them (those with the smallest url hashes; tasks pass on a range of hashes that
+holds about twice as many, so that what the driver gets doesn't grow with the number of tasks) and become one Spark
+expression, so scoring is a projection that never leaves the JVM.
+
+A suffix's odds are learned from the same labels as the trees, so for the trees they are taken out of fold: a url's odds
+come from the hosts of the other ``FOLDS`` - 1 folds. Hosts of one fold are held out entirely while ``held_out_accuracy``
+is measured.
 
 Features: length, depth, digit ratio, entropy over characters, parameters, host labels, longest run between
-separators, and of the host's last label its length and the smoothed log-odds of "block" in the sample.
+separators, and of the host's last label its length and the smoothed log-odds of "block".
 
 Defined cases: for a null url or one without ``://`` host and path are empty, no rule fits and the trees decide;
 equal rows get equal verdicts; without labelled URLs, or with one label only, the trees are a constant;
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE = 20_000
-SUFFIXES = 64
+SUFFIXES, FOLDS = 64, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -81,8 +85,8 @@ class Trees:
     odds: dict[str, float] = field(default_factory=dict)
 
     @staticmethod
-    def fit(x: np.ndarray, suffix: list[str], y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3) -> Trees:
-        """y: 1 for block. x lacks the last feature, which is learned here."""
+    def fit(x: np.ndarray, suffix: list[str], y: np.ndarray, fold: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3) -> Trees:
+        """y: 1 for block; fold: that of a row's host. x lacks the last feature, which is learned here."""
         out = Trees()
         if not len(y):
             return out
@@ -91,10 +95,16 @@ class Trees:
         if y.min() == y.max():
             return out
         values, place, count = np.unique(np.array(suffix), return_inverse=True, return_counts=True)
-        block = np.bincount(place, weights=y)
-        for i in np.argsort(-count, kind="stable")[:SUFFIXES]:
-            out.odds[str(values[i])] = float(np.log((block[i] + 1) / (count[i] - block[i] + 1)))
-        x = np.column_stack([x, [out.odds.get(s, prior) for s in suffix]])
+        known = np.zeros(len(values), bool)
+        known[np.argsort(-count, kind="stable")[:SUFFIXES]] = True
+
+        def odds(rows: np.ndarray) -> np.ndarray:
+            n, block = (np.bincount(place[rows], weights=w, minlength=len(values)) for w in (None, y[rows]))
+            return np.where(known & (n > 0), np.log((block + 1) / (n - block + 1)), prior)
+
+        out.odds = {str(values[i]): float(v) for i, v in enumerate(odds(np.arange(len(y)))) if known[i]}
+        apart = np.array([odds(np.flatnonzero(fold != f)) for f in range(FOLDS)])
+        x = np.column_stack([x, apart[fold, place]])
         cuts = [np.unique(np.quantile(c, np.linspace(0.02, 0.98, 33), method="lower")) for c in x.T]
         logit = np.full(len(y), prior)
         for _ in range(rounds):
@@ -104,6 +114,11 @@ class Trees:
             logit += _apply(tree, x)
         return out
 
+    def logits(self, x: np.ndarray, suffix: list[str]) -> np.ndarray:
+        """The same sum as ``logit`` for rows of features (without the last)."""
+        x = np.column_stack([x, [self.odds.get(s, self.base) for s in suffix]])
+        return self.base + sum((_apply(t, x) for t in self.trees), np.zeros(len(x)))
+
     def logit(self) -> Column:
         """The sum of all trees as a Spark expression over FEATURES."""
         return sum((_column(t) for t in self.trees), F.lit(self.base))
@@ -144,14 +159,35 @@ def _column(tree) -> Column:
     return F.when(F.col(FEATURES[tree[0]]) <= tree[1], _column(tree[2])).otherwise(_column(tree[3]))
 
 
+def labelled_rows(found: DataFrame, sample: int) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(features, suffixes, 1 for block, fold of the host) of at most ``sample`` urls that a rule decides."""
+    labelled = found.filter("rule IS NOT NULL").select(F.xxhash64("url").alias("k"), "page_id", "suffix", "decided", *FEATURES[:-1], F.pmod(F.xxhash64("host"), F.lit(FOLDS)).alias("fold"))
+    n = found.filter("rule IS NOT NULL").count()
+    part = F.pmod(F.col("k"), F.lit(1 << 30)) < int(min(1.0, 2 * sample / max(n, 1)) * (1 << 30))
+    rows = labelled.filter(part).orderBy("k", "page_id").limit(sample).collect()
+    x = np.array([[r[f] for f in FEATURES[:-1]] for r in rows]).reshape(len(rows), len(FEATURES) - 1)
+    return x, [r["suffix"] for r in rows], np.array([float(r["decided"] == "block") for r in rows]), np.array([r["fold"] for r in rows], np.int64)
+
+
+def _found(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    rule, verdict = rule_of(rules)
+    return with_features(parsed(pages.select("page_id", "url")).withColumns({"rule": rule, "decided": verdict}))
+
+
+def held_out_accuracy(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE) -> tuple[float, int]:
+    """(share of right verdicts, urls) on the hosts of the last fold, for trees that learned from the other hosts."""
+    x, suffix, y, fold = labelled_rows(_found(pages, rules), sample)
+    apart = np.flatnonzero(fold == FOLDS - 1)
+    rest = np.flatnonzero(fold != FOLDS - 1)
+    trees = Trees.fit(x[rest], [suffix[i] for i in rest], y[rest], fold[rest])
+    right = (trees.logits(x[apart], [suffix[i] for i in apart]) >= 0) == (y[apart] > 0)
+    return float(right.mean()) if len(apart) else 0.0, len(apart)
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the trees' probability of "block") for each row of pages (page_id, url)."""
-    rule, verdict = rule_of(rules)
-    found = with_features(parsed(pages.select("page_id", "url")).withColumns({"rule": rule, "decided": verdict}))
-    labelled = found.filter("rule IS NOT NULL").select(F.xxhash64("url").alias("k"), "page_id", "suffix", "decided", *FEATURES[:-1])
-    rows = labelled.orderBy("k", "page_id").limit(sample).collect()
-    x = np.array([[r[f] for f in FEATURES[:-1]] for r in rows]).reshape(len(rows), len(FEATURES) - 1)
-    trees = Trees.fit(x, [r["suffix"] for r in rows], np.array([float(r["decided"] == "block") for r in rows]))
+    found = _found(pages, rules)
+    trees = Trees.fit(*labelled_rows(found, sample))
     found = found.withColumn("f_suffix_odds", trees.odds_column())
     found = found.withColumn("score", 1 / (1 + F.exp(-trees.logit())))
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
