@@ -2,17 +2,18 @@
 
 An item's fingerprint is the 64-bit SimHash of its five-word shingles (Charikar, 2002). In a document every window
 with as many words as an item is looked at. Fingerprints within ``RADIUS`` bits are found by multi-index hashing
-(Norouzi, Punjani, Fleet, 2012): of 8 blocks of 8 bits one must be within RADIUS // 8, so the items near each block
-value are tabled and no fingerprint within the radius is missed. Exact weighted similarity (sum of minima over sum of maxima of
-the shingles' counts) verifies candidates. Windows that hold too few shingles of any item to reach the similarity are
-passed over before, which loses nothing. RADIUS 20 is 3.6 standard deviations above the distance expected at 0.8.
-
-Documents are only mapped; items are sent to the executors in blocks of at most ``ITEMS`` items and ``ITEM_BYTES`` of text, as
-many as there are.
-
-Words are runs of letters and digits, lower-cased. Defined cases: null or empty texts match nothing; items of under five
-words are too common to be searched for; documents shorter than an item are one window for it; equal items each
-match; equal rows each give rows; null ids stay null; other columns aren't looked at.
+(Norouzi, Punjani, Fleet, 2012): of 8 blocks of 8 bits one must be within RADIUS // 8, so for each block value there is a
+row of bits that tells which items of the window's length are near, and no fingerprint within the radius is missed. Exact
+weighted similarity (sum of minima over sum of maxima of the shingles' counts) verifies candidates. Windows that hold too few
+shingles of any item to reach the similarity are passed over before, which loses nothing. RADIUS 20 is 3.6 standard
+deviations above the distance expected at 0.8.
+
+Documents are only mapped; different items are sent to the executors in blocks of at most ``ITEMS`` items and ``ITEM_BYTES``
+of text, as many as there are.
+
+Words are runs of letters and digits, lower-cased. Defined cases: null or empty texts match nothing; an item of under five
+words is one shingle of its whole sequence and matches where that stands; documents shorter than an item are one window for
+it; equal items each match; equal rows each give rows; null ids stay null; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -52,75 +53,100 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / (sum(a.values()) + sum(b.values()) - low)
 
 
+class _Length:
+    """The items of one number of words, with the multi-index of their fingerprints."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray):
+        self.items, self.prints = items, prints
+        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        # near[b, v]: a bit for each item, set where its b-th block is within RADIUS // BLOCKS bits of v
+        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ blocks.T[:, None, :]) <= RADIUS // BLOCKS
+        self.near = np.packbits(near, axis=2)
+
+    def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) for all items within RADIUS of a window's fingerprint."""
+        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        found = self.near[0, blocks[:, 0]]
+        for b in range(1, BLOCKS):
+            found = found | self.near[b, blocks[:, b]]
+        window, at = np.nonzero(np.unpackbits(found, axis=1, count=len(self.items)))
+        good = np.bitwise_count(prints[window] ^ self.prints[at]) <= RADIUS
+        return zip(window[good].tolist(), self.items[at[good]].tolist())
+
+
 class Items:
-    """A block of items with the multi-index of their fingerprints."""
+    """A block of items, by their number of words."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
-        found = [(i, h) for i, text in rows if len(h := normal_hashes(text)) >= N]
+        found = [(i, h) for i, text in rows if len(h := normal_hashes(text))]
         self.ids = [i for i, _ in found]
         shingles = [shingle_hashes(h, N) for _, h in found]
         self.bags = [Counter(s.tolist()) for s in shingles]
         self.words = np.array([len(h) for _, h in found], np.int64)
-        self.known = np.unique(np.concatenate(shingles)) if found else np.empty(0, np.uint64)
-        self.prints = np.array([simhash(s[None, :])[0] for s in shingles], np.uint64)
-        values = np.arange(256, dtype=np.uint8)
-        blocks = self.prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        # near[b, v]: the items whose b-th block is within RADIUS // BLOCKS bits of v
-        self.near = np.bitwise_count(values[None, :, None] ^ blocks.T[:, None, :]) <= RADIUS // BLOCKS
-
-    def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(window, items within RADIUS of its fingerprint)."""
-        for w, (value, blocks) in enumerate(zip(prints, prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS))):
-            some = np.flatnonzero(self.near[np.arange(BLOCKS), blocks].any(axis=0))
-            some = some[np.bitwise_count(self.prints[some] ^ value) <= RADIUS]
-            if len(some):
-                yield w, some
+        long = [s for s, m in zip(shingles, self.words.tolist()) if m >= N]
+        self.known = np.unique(np.concatenate(long)) if long else np.empty(0, np.uint64)
+        self.lengths, self.short = {}, {}
+        for m in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == m)
+            if m >= N:
+                self.lengths[m] = _Length(at, np.array([simhash(shingles[i][None, :])[0] for i in at], np.uint64))
+            else:
+                self.short[m] = {}
+                for i in at.tolist():
+                    self.short[m].setdefault(int(shingles[i][0]), []).append(i)
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity): the best window of each item that reaches SIMILARITY."""
+        """(item, first word, words, similarity): the best window of each item that reaches SIMILARITY, the first of equals."""
         h = normal_hashes(text)
-        if len(h) < N or not len(self.ids):
-            return []
+        best: dict[int, tuple[float, int, int]] = {}
+        for m, table in self.short.items():
+            if len(h) >= m:
+                s = shingle_hashes(h, m)
+                places = np.flatnonzero(np.isin(s, np.fromiter(table, np.uint64, len(table))))
+                for start, value in zip(places.tolist(), s[places].tolist()):
+                    for i in table[value]:
+                        best.setdefault(i, (1.0, start, m))
+        if len(h) >= N and len(self.known):
+            self._near(h, best)
+        return [(i, start, size, now) for i, (now, start, size) in best.items()]
+
+    def _near(self, h: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
         s = shingle_hashes(h, N)
         at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
         hit = self.known[at] == s
         if not hit.any():
-            return []
+            return
         hits = np.r_[0, np.cumsum(hit)]
-        best: dict[int, tuple[float, int, int]] = {}
-        for m in np.unique(self.words):
-            size = min(int(m), len(h))
+        for m, items in self.lengths.items():
+            size = min(m, len(h))
             k = size - N + 1
             enough = np.flatnonzero(hits[k:] - hits[:-k] >= np.ceil(SIMILARITY * (m - N + 1) - 1e-9))
             for some in np.array_split(enough, -(-len(enough) // 4096) or 1):
                 if not len(some):
                     continue
-                windows = s[some[:, None] + np.arange(k)]
-                for w, items in self.candidates(simhash(windows)):
-                    items = items[self.words[items] == m]
-                    if len(items):
-                        bag = Counter(windows[w].tolist())
-                        for i in items.tolist():
-                            now = similarity(bag, self.bags[i])
-                            if now >= SIMILARITY and now > best.get(i, (0.0,))[0]:
-                                best[i] = now, int(some[w]), size
-        return [(i, start, size, now) for i, (now, start, size) in best.items()]
+                windows, bags = s[some[:, None] + np.arange(k)], {}
+                for w, i in items.candidates(simhash(windows)):
+                    if w not in bags:
+                        bags[w] = Counter(windows[w].tolist())
+                    now = similarity(bags[w], self.bags[i])
+                    if now >= SIMILARITY and now > best.get(i, (0.0,))[0]:
+                        best[i] = now, int(some[w]), size
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The items of benchmark (item_id, text), in blocks of bounded size."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    """The different texts of benchmark (item_id, text), named by their hashes, in blocks of bounded size."""
+    rows = benchmark.filter("text IS NOT NULL").select(F.xxhash64("text").alias("k"), "text").dropDuplicates(["k"])
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-2 * n // ITEMS), -(-2 * size // ITEM_BYTES)) if n > ITEMS or size > ITEM_BYTES else 1
     for b in range(blocks):
-        some = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield Items([(r["item_id"], r["text"]) for r in some.collect()])
+        some = rows if blocks == 1 else rows.filter(F.pmod("k", F.lit(blocks)) == b)
+        yield Items(sorted((r["k"], r["text"]) for r in some.collect()))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity) for each document and item it holds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
     out = None
     for items in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by ITEMS and ITEM_BYTES
@@ -132,9 +158,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
-        part = docs.mapInArrow(rows, "doc_id long, item_id long, start_word long, n_words long, similarity double")
+        part = docs.mapInArrow(rows, "doc_id long, k long, start_word long, n_words long, similarity double")
         out = part if out is None else out.unionByName(part)
-    return out
+    ids = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("k"))
+    return out.join(ids, "k").select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
