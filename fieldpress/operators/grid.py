@@ -66,13 +66,20 @@ def with_before(df: DataFrame, column: str, n: int, idx: str = "idx") -> DataFra
 
 
 def mask_runs(cells: DataFrame) -> DataFrame:
-    """(field_id, run, missing, start, length) of equal neighbours in the flattened mask."""
+    """(field_id, run, missing, start, length) of equal neighbours in the flattened mask. Runs are numbered per block; a row for each block is summed up per field."""
     flat = numbered(cells.withColumn("missing", is_missing(F.col("value")).cast("int")))
     edges = with_before(flat, "missing", 1).filter("missing_1 IS NULL OR missing <> missing_1")
+    edges = edges.select("field_id", "missing", F.col("idx").alias("start"), F.floor(F.col("idx") / BLOCK).alias("block_"))
+    inside = Window.partitionBy("field_id", "block_").orderBy("start")
+    edges = edges.withColumns({"rank_": F.row_number().over(inside) - 1, "next_": F.lead("start").over(inside)})
+    blocks = edges.groupBy("field_id", "block_").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+    along = Window.partitionBy("field_id").orderBy("block_")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("field_id", "block_", before.alias("before_"), F.lead("first").over(along).alias("after_"))
     size = flat.groupBy("field_id").agg(F.count("*").alias("size"))
-    w = Window.partitionBy("field_id").orderBy("idx")
-    edges = edges.select("field_id", "missing", F.col("idx").alias("start"), (F.row_number().over(w) - 1).alias("run"), F.lead("idx").over(w).alias("next"))
-    return edges.join(size, "field_id").select("field_id", "run", "missing", "start", (F.coalesce("next", "size") - F.col("start")).alias("length"))
+    edges = edges.join(blocks, ["field_id", "block_"]).join(size, "field_id")
+    end = F.coalesce("next_", "after_", "size")
+    return edges.select("field_id", (F.col("rank_") + F.col("before_")).cast("int").alias("run"), "missing", "start", (end - F.col("start")).alias("length"))
 
 
 def rle_sizes(runs: DataFrame) -> DataFrame:

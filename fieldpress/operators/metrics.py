@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import is_missing, with_before
@@ -12,7 +12,8 @@ PREDICTORS = ["previous", "delta", "moving_avg", "linear", "quadratic"]
 
 
 def field_stats(cells: DataFrame) -> DataFrame:
-    v = F.when(~is_missing(F.col("value")), F.col("value"))
+    """Counts and moments of the cells that aren't NULL or NaN; infinities count as values here."""
+    v = F.when(~(F.col("value").isNull() | F.isnan("value")), F.col("value"))
     n, ok = F.count("*"), F.count(v)
     return cells.groupBy("field_id").agg(
         n.alias("n_cells"), ok.alias("n_valid"), (n - ok).alias("n_missing"), F.round(100.0 * (n - ok) / n, 6).alias("missing_pct"),
@@ -85,14 +86,45 @@ def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
     return df.join(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # ends is one row
 
 
-def error_metrics(pairs: DataFrame, bound: float) -> DataFrame:
-    """Accuracy of (original, decoded) where both are there."""
-    e = F.col("decoded") - F.col("original")
-    over = F.sum((F.abs(e) > bound).cast("int")) if bound > 0 else F.lit(0)
-    return pairs.groupBy("field_id").agg(
-        F.count("*").alias("n"), F.round(F.max(F.abs(e)), 6).alias("max_abs_error"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(e), 6).alias("bias"),
-        over.cast("bigint").alias("violations"), (F.max(F.abs(e)) <= bound).alias("bound_respected"), F.round(F.expr("percentile(abs(decoded - original), 0.99)"), 6).alias("p99_abs_error"),
+def quantile(df: DataFrame, key: str, column: str, p: float, bins: int = 4096) -> DataFrame:
+    """(key, quantile): that of column by linear interpolation between its order statistics, exact.
+
+    Counts of equal bins tell in which bins the two order statistics lie; only distinct values of those bins are ranked.
+    """
+    df = df.select(key, F.col(column).alias("v_")).filter("v_ IS NOT NULL")
+    ends = df.groupBy(key).agg(F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), ((F.count("*") - 1) * p).alias("at_"))
+    width = (F.col("hi_") - F.col("lo_")) / bins
+    bin_ = F.when(width > 0, F.least(F.floor((F.col("v_") - F.col("lo_")) / width), F.lit(bins - 1))).otherwise(0)
+    df = df.groupBy(key, "v_").agg(F.count("*").alias("n_")).join(ends, key).withColumn("bin_", bin_)
+    sizes = df.groupBy(key, "bin_").agg(F.sum("n_").alias("size_"), F.min("at_").alias("at_"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("below_", before("size_", Window.partitionBy(key).orderBy("bin_")))
+    hit = sizes.filter("below_ <= ceil(at_) AND floor(at_) < below_ + size_").select(key, "bin_", "below_")
+    inside = df.join(hit, [key, "bin_"]).withColumn("first_", F.col("below_") + before("n_", Window.partitionBy(key, "bin_").orderBy("v_")))
+    has = lambda rank: F.max(F.when((F.col("first_") <= rank) & (rank < F.col("first_") + F.col("n_")), F.col("v_")))
+    low, high = F.floor("at_"), F.ceil("at_")
+    found = inside.groupBy(key).agg(has(low).alias("a_"), has(high).alias("b_"), F.min(F.col("at_") - low).alias("part_"))
+    return found.select(key, (F.col("a_") + (F.col("b_") - F.col("a_")) * F.col("part_")).alias("quantile"))
+
+
+def error_metrics(pairs: DataFrame, bound: float, dtype: str = "double") -> DataFrame:
+    """Accuracy of (original, decoded) where both are there; the bound is taken in the field's own type. A bound of 0 asks for nothing."""
+    e = F.col("decoded").cast(dtype).cast("double") - F.col("original").cast(dtype).cast("double")
+    limit = F.lit(bound).cast(dtype).cast("double")
+    over = F.sum((F.abs("e_") > limit).cast("int")) if bound > 0 else F.lit(0)
+    respected = (F.max(F.abs("e_")) <= limit) if bound > 0 else F.lit(True)
+    errors = pairs.select("field_id", e.alias("e_"))
+    stats = errors.groupBy("field_id").agg(
+        F.count("*").alias("n"), F.round(F.max(F.abs("e_")), 6).alias("max_abs_error"), F.round(F.sqrt(F.avg(F.col("e_") * F.col("e_"))), 6).alias("rmse"), F.round(F.avg("e_"), 6).alias("bias"),
+        over.cast("bigint").alias("violations"), respected.alias("bound_respected"),
     )
+    high = quantile(errors.withColumn("e_", F.abs("e_")), "field_id", "e_", 0.99)
+    return stats.join(high.select("field_id", F.round("quantile", 6).alias("p99_abs_error")), "field_id")
+
+
+def sentinel_identity(pairs: DataFrame, sentinel: float) -> DataFrame:
+    """(field_id, sentinel_identical): cells that hold the sentinel hold exactly it again, and no others do."""
+    return pairs.groupBy("field_id").agg(F.bool_and((F.col("original") == sentinel) == F.coalesce(F.col("decoded") == sentinel, F.lit(False))).alias("sentinel_identical"))
 
 
 def challenge_violations(pairs: DataFrame, bound: float) -> DataFrame:
@@ -108,9 +140,9 @@ def error_field(pairs: DataFrame) -> DataFrame:
 
 
 def size_metrics(streams: DataFrame) -> DataFrame:
-    """Ratio, reduction and bits per valid value of encoded streams by field."""
+    """Ratio, reduction and bits per cell (valid or not) of encoded streams by field."""
     size, raw = F.sum(F.octet_length("container")), F.sum("uncompressed_size")
     return streams.groupBy("field_id", "error_bound").agg(
         size.cast("bigint").alias("compressed_bytes"), (raw / size).alias("cr"), (100.0 * (1 - size / raw)).alias("reduction_pct"),
-        (8.0 * size / F.sum("n_valid")).alias("bits_per_value"), F.max("max_abs_error").alias("max_abs_error"), F.sum("n_repaired").alias("n_repaired"),
+        (8.0 * size / F.sum(F.col("nt").cast("long") * F.col("ny") * F.col("nx"))).alias("bits_per_value"), F.max("max_abs_error").alias("max_abs_error"), F.sum("n_repaired").alias("n_repaired"),
     )

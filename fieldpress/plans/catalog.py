@@ -5,6 +5,8 @@ Queries run on the events grid: day x hour x (user_id % 32), the largest value i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..operators import codec, grid, metrics
 
 BOUND = 0.05
 STEP = derive_step(BOUND, "float64")
-SLICE = 2  # days of the grid on which the scan is checked against a recursive query
+SLICE = 2  # days of a tile: the scan of each starts cold, so that tiles are scanned side by side, by Spark and in SQL
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,21 +47,28 @@ flat AS (SELECT row_number() OVER (ORDER BY t, y, x) - 1 AS idx, (value IS NULL)
 edge AS (SELECT idx, missing FROM (SELECT *, lag(missing) OVER (ORDER BY idx) AS before FROM flat) WHERE before IS NULL OR missing <> before),
 runs AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS run, missing, idx AS start, lead(idx, 1, (SELECT count(*) FROM cells)) OVER (ORDER BY idx) - idx AS length FROM edge)"""
 
-#: The scan, cell by cell, over the first days: r holds the reconstruction so far.
-SCAN = f"""WITH RECURSIVE {BASE.strip()},
-seq AS (SELECT row_number() OVER (ORDER BY t, y, x) - 1 AS k, t, y, x, value FROM cells WHERE t < {SLICE}),
-rec(k, t, y, x, q, recon, r) AS (
-  SELECT -1::BIGINT, 0, 0, 0, NULL::DOUBLE, NULL::DOUBLE, []::DOUBLE[]
+def _scan_sql(value: str, step: float) -> str:
+    """The scan, cell by cell, of each tile of SLICE days: a recursion in which r holds a tile's reconstruction so far."""
+    lattice = f"{step!r}::DOUBLE"
+    return f"""WITH RECURSIVE {BASE.strip()},
+seq AS (SELECT t // {SLICE} AS c, row_number() OVER (PARTITION BY t // {SLICE} ORDER BY t, y, x) - 1 AS k, t, y, x, {value} AS value FROM cells),
+rec(c, k, t, y, x, q, recon, r) AS (
+  SELECT DISTINCT c, -1::BIGINT, 0, 0, 0, NULL::DOUBLE, NULL::DOUBLE, []::DOUBLE[] FROM seq
   UNION ALL
-  SELECT k, t, y, x, CASE WHEN value IS NOT NULL THEN q END, CASE WHEN value IS NOT NULL THEN p + q * {STEP!r}::DOUBLE END, list_append(r, CASE WHEN value IS NULL THEN 0 ELSE p + q * {STEP!r}::DOUBLE END)
-  FROM (SELECT *, floor((value - p) * (1 / {STEP!r}::DOUBLE) + 0.5) AS q FROM (
+  SELECT c, k, t, y, x, CASE WHEN value IS NOT NULL THEN q END, CASE WHEN value IS NOT NULL THEN p + q * {lattice} END, list_append(r, CASE WHEN value IS NULL THEN 0 ELSE p + q * {lattice} END)
+  FROM (SELECT *, floor((value - p) * (1 / {lattice}) + 0.5) AS q FROM (
     SELECT *, CASE WHEN w > 0 THEN (8 * l + 2 * u + ul + ur + b) / w ELSE 32 END AS p FROM (
       SELECT *, (8 * (l <> 0)::INT + 2 * (u <> 0)::INT + (ul <> 0)::INT + (ur <> 0)::INT + (b <> 0)::INT)::DOUBLE AS w FROM (
-        SELECT s.k, s.t, s.y, s.x, s.value, rec.r AS r,
+        SELECT s.c, s.k, s.t, s.y, s.x, s.value, rec.r AS r,
           CASE WHEN s.x > 0 THEN rec.r[s.k] ELSE 0 END AS l, CASE WHEN s.y > 0 THEN rec.r[s.k - 31] ELSE 0 END AS u,
           CASE WHEN s.x > 0 AND s.y > 0 THEN rec.r[s.k - 32] ELSE 0 END AS ul, CASE WHEN s.x < 31 AND s.y > 0 THEN rec.r[s.k - 30] ELSE 0 END AS ur,
-          CASE WHEN s.t > 0 THEN rec.r[s.k - 767] ELSE 0 END AS b
-        FROM rec JOIN seq s ON s.k = rec.k + 1)))))"""
+          CASE WHEN s.t % {SLICE} > 0 THEN rec.r[s.k - 767] ELSE 0 END AS b
+        FROM rec JOIN seq s ON s.c = rec.c AND s.k = rec.k + 1)))))"""
+
+
+SCAN = _scan_sql("value", STEP)
+STEP32 = derive_step(BOUND, "float32")
+SCAN32 = _scan_sql("value::FLOAT::DOUBLE", STEP32)
 
 
 def query(sql: str | None = None):
@@ -258,34 +267,52 @@ def derived_step(spark, d):
 
 
 # ---------------------------------------------------------------- the scan
-def _slice(spark, d):
-    return _cells(spark, d).filter(F.col("t") < SLICE)
+def _tiles(spark, d):
+    """The grid as a field for each SLICE days, with t from 0 in each."""
+    tile = F.floor(F.col("t") / SLICE)
+    return _cells(spark, d).withColumns({"field_id": tile.cast("string"), "t": (F.col("t") - tile * SLICE).cast("int")})
+
+
+def _day():
+    return (F.col("field_id").cast("int") * SLICE + F.col("t")).cast("int").alias("t")
 
 
 @query(f"{SCAN} SELECT t, y, x, q::BIGINT AS symbol FROM rec WHERE q IS NOT NULL")
 def scan_symbols(spark, d):
-    return codec.scan_cells(_slice(spark, d), BOUND, 24, 32).select("t", "y", "x", "symbol")
+    return codec.scan_cells(_tiles(spark, d), BOUND, 24, 32).select(_day(), "y", "x", "symbol")
 
 
 @query(f"{SCAN} SELECT t, y, x, recon FROM rec WHERE q IS NOT NULL")
 def scan_recon(spark, d):
-    return codec.scan_cells(_slice(spark, d), BOUND, 24, 32).select("t", "y", "x", "recon")
+    return codec.scan_cells(_tiles(spark, d), BOUND, 24, 32).select(_day(), "y", "x", "recon")
+
 
+@query(f"{SCAN32} SELECT t, y, x, q::BIGINT AS symbol, recon FROM rec WHERE q IS NOT NULL")
+def scan_float32(spark, d):
+    return codec.scan_cells(_tiles(spark, d), BOUND, 24, 32, dtype="float32").select(_day(), "y", "x", "symbol", "recon")
 
-@query(f"{SCAN} SELECT s.t, s.y, s.x, q IS NULL AS missing, CASE WHEN abs(s.value - recon) > 0.05::DOUBLE THEN s.value ELSE recon END AS value FROM rec JOIN seq s USING (k)")
+
+@query(f"{SCAN} SELECT s.t, s.y, s.x, q IS NULL AS missing, CASE WHEN abs(s.value - recon) > 0.05::DOUBLE THEN s.value ELSE recon END AS value FROM rec JOIN seq s USING (c, k)")
 def scan_decode(spark, d):
-    streams = codec.encode_cells(_slice(spark, d), BOUND, 24, 32, dtype="float64")
+    streams = codec.encode_cells(_tiles(spark, d), BOUND, 24, 32, dtype="float64")
     cells = codec.decode_streams(streams)
-    return cells.select("t", "y", "x", "missing", F.when(~F.col("missing"), F.col("value")).alias("value"))
+    return cells.select(_day(), "y", "x", "missing", F.when(~F.col("missing"), F.col("value")).alias("value"))
+
+
+@query(f"{SCAN32} SELECT s.t, s.y, s.x, q IS NULL AS missing, CASE WHEN abs(s.value - recon::FLOAT::DOUBLE) > 0.05::FLOAT::DOUBLE THEN s.value ELSE recon::FLOAT::DOUBLE END AS value FROM rec JOIN seq s USING (c, k)")
+def stream_float32(spark, d):
+    """Streams in the default type, decoded again, with their repairs."""
+    cells = codec.decode_streams(codec.encode_cells(_tiles(spark, d), BOUND, 24, 32))
+    return cells.select(_day(), "y", "x", "missing", F.when(~F.col("missing"), F.col("value")).alias("value"))
 
 
 @query(f"{SCAN}, ranked AS (SELECT q FROM rec WHERE q IS NOT NULL), k AS (SELECT q, count(*) AS n FROM ranked GROUP BY q) SELECT sum(n)::BIGINT AS n, round(log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n), 6) AS entropy_bits FROM k")
 def pred_stencil(spark, d):
-    s = codec.scan_cells(_slice(spark, d), BOUND, 24, 32)
+    s = codec.scan_cells(_tiles(spark, d), BOUND, 24, 32).withColumn("field_id", F.lit("events"))
     return s.groupBy("field_id").agg(F.count("*").alias("n")).join(metrics.entropy(s, ["field_id"], "symbol"), "field_id").drop("field_id")
 
 
-# The same over all days of the grid: what the recursive SQL is too slow for. Tests compare them with the walk.
+# The same as one field of all days: what the recursive SQL is too slow for. Tests compare them with the walk.
 @query()
 def scan_symbols_all(spark, d):
     return codec.scan_cells(_cells(spark, d), BOUND, 24, 32).select("t", "y", "x", "symbol")
@@ -320,7 +347,8 @@ def error_metrics(spark, d):
 
 @query(f"WITH {PAIRS} SELECT round(quantile_cont({ERRORS}, 0.99), 6) AS p99 FROM pairs WHERE original IS NOT NULL")
 def p99_error(spark, d):
-    return _pairs(spark, d).filter("original IS NOT NULL").agg(F.round(F.expr("percentile(abs(decoded - original), 0.99)"), 6).alias("p99"))
+    errors = _pairs(spark, d).filter("original IS NOT NULL").select("field_id", F.abs(F.col("decoded") - F.col("original")).alias("error"))
+    return metrics.quantile(errors, "field_id", "error", 0.99).select(F.round("quantile", 6).alias("p99"))
 
 
 @query(f"WITH {PAIRS} SELECT t, y, x, original AS value FROM pairs WHERE {ERRORS} > 0.03::DOUBLE")
@@ -431,20 +459,17 @@ def roundtrip(spark, d):
 
 @query(f"WITH {BASE}, b AS (SELECT unnest([0.01, 0.05, 0.2])::DOUBLE AS error_bound), o AS (SELECT unnest([true, false]) AS outer_zstd) SELECT error_bound, outer_zstd, count(value) AS n_valid, 0::BIGINT AS violations, true AS bound_respected FROM cells, b, o GROUP BY ALL")
 def bound_sweep(spark, d):
-    out = None
-    for bound in (0.01, 0.05, 0.2):
-        for outer in (True, False):
-            streams = codec.encode_cells(_cells(spark, d), bound, 24, 32, dtype="float64", outer_compress=outer)
-            one = streams.groupBy("error_bound").agg(F.sum("n_valid").alias("n_valid"), F.sum((F.col("max_abs_error") > bound).cast("bigint")).alias("violations"), (F.max("max_abs_error") <= bound).alias("bound_respected"))
-            one = one.withColumn("outer_zstd", F.lit(outer))
-            out = one if out is None else out.unionByName(one)
-    return out
+    cells = _cells(spark, d)
+    runs = [(outer, codec.encode_cells(cells, b, 24, 32, chunk=8, dtype="float64", outer_compress=outer)) for b in (0.01, 0.05, 0.2) for outer in (True, False)]
+    over = F.sum((F.col("max_abs_error") > F.col("error_bound")).cast("bigint")).alias("violations")
+    each = [r.groupBy("error_bound").agg(F.sum("n_valid").alias("n_valid"), over, F.bool_and(F.col("max_abs_error") <= F.col("error_bound")).alias("bound_respected")).withColumn("outer_zstd", F.lit(o)) for o, r in runs]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query("SELECT true AS monotone")
 def sweep_monotone(spark, d):
     """Ratios don't fall by more than 2 % from a bound to the next looser one."""
-    runs = [metrics.size_metrics(codec.encode_cells(_cells(spark, d), b, 24, 32, dtype="float64")) for b in (0.01, 0.05, 0.2)]
+    runs = [metrics.size_metrics(codec.encode_cells(_cells(spark, d), b, 24, 32, chunk=8, dtype="float64")) for b in (0.01, 0.05, 0.2)]
     w = Window.partitionBy("field_id").orderBy("error_bound")
     runs = runs[0].unionByName(runs[1]).unionByName(runs[2]).withColumn("before", F.lag("cr").over(w))
     return runs.agg(F.bool_and(F.coalesce(F.col("before") <= F.col("cr") * 1.02, F.lit(True))).alias("monotone"))
@@ -452,10 +477,10 @@ def sweep_monotone(spark, d):
 
 @query("SELECT 0.2::DOUBLE AS error_bound")
 def best_run(spark, d):
-    runs = [metrics.size_metrics(codec.encode_cells(_cells(spark, d), b, 24, 32, dtype="float64")) for b in (0.01, 0.05, 0.2)]
+    runs = [metrics.size_metrics(codec.encode_cells(_cells(spark, d), b, 24, 32, chunk=8, dtype="float64")) for b in (0.01, 0.05, 0.2)]
     return runs[0].unionByName(runs[1]).unionByName(runs[2]).agg(F.max_by("error_bound", "cr").alias("error_bound"))
 
 
 @query()
 def size_metrics(spark, d):
-    return metrics.size_metrics(codec.encode_cells(_cells(spark, d), BOUND, 24, 32, dtype="float64"))
+    return metrics.size_metrics(codec.encode_cells(_cells(spark, d), BOUND, 24, 32, chunk=8, dtype="float64"))

@@ -18,9 +18,14 @@ def windowed_stats(cells: DataFrame, ts: str = "ts", window: str = "1 day", late
 
 
 def encode_batches(cells: DataFrame, folder: str, error_bound: float, ny: int, nx: int, **options):
-    """A writer that appends each micro-batch's cells as encoded chunks. A batch that is run again overwrites its own folder."""
+    """A writer that appends each micro-batch's cells as encoded chunks. A batch that is run again overwrites its own folder.
+
+    ``options`` are those of ``encode_cells``; a chunk is one time step unless they say otherwise. A chunk whose cells come in
+    several batches is one stream in each of them.
+    """
+    options = {"chunk": 1} | options
 
     def write(batch: DataFrame, epoch: int) -> None:
-        encode_cells(batch, error_bound, ny, nx, chunk=options.get("chunk", 1), dtype=options.get("dtype", "float32")).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+        encode_cells(batch, error_bound, ny, nx, **options).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
     return cells.writeStream.foreachBatch(write)
