@@ -15,7 +15,7 @@ from ..config import FieldConfig
 from ..functions.container import MODEL_VERSION, ContainerError, read_container, write_container
 from ..functions.masks import pack_mask, unpack_mask
 from ..functions.scan import decode_valid, encode_valid, scan_encode
-from ..functions.symbols import decode_symbols, encode_symbols, pack_repairs, unpack_repairs
+from ..functions.symbols import decode_symbols, encode_symbols, modes_of, pack_repairs, unpack_repairs
 
 
 def missing_mask(values: np.ndarray, missing_value: float) -> np.ndarray:
@@ -171,6 +171,43 @@ def decode_streams(streams: DataFrame, t_from: int | None = None, t_to: int | No
     return cells.filter(F.col("t") <= t_to) if t_to is not None else cells
 
 
+def stream_modes(streams: DataFrame) -> DataFrame:
+    """(field_id, t0, mode, blocks): how many blocks of each stream are coded in which mode."""
+    names = ["RAW", "RANGE", "CTX"]
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for field_id, t0, data in zip(batch["field_id"].to_pylist(), batch["t0"].to_pylist(), batch["container"]):
+                residual = read_container(data.as_py()).residual
+                (size,) = struct.unpack_from("<Q", residual)
+                modes = modes_of(residual[8 : 8 + size])
+                out += [(field_id, t0, names[m], modes.count(m)) for m in sorted(set(modes))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["field_id", "t0", "mode", "blocks"])
+
+    return streams.select("field_id", "t0", "container").mapInArrow(rows, "field_id string, t0 int, mode string, blocks long")
+
+
+def mask_layouts(cells: DataFrame, ny: int, nx: int, chunk: int) -> DataFrame:
+    """(field_id, t0, layout, bytes): a chunk's mask as bits, as runs or bits, both again in zstd, and in zstd with time innermost."""
+    import zstandard
+
+    def sizes(key, table):
+        t, y, x = (table[c].to_numpy() for c in "tyx")
+        t0 = key[1].as_py()
+        missing = np.ones((int(t.max()) - t0 + 1, ny, nx), bool)
+        missing[t - t0, y, x] = ~np.isfinite(table["value"].to_numpy(zero_copy_only=False))
+        bits = lambda m: np.packbits(m.ravel(), bitorder="little").tobytes()
+        small = lambda data: len(zstandard.ZstdCompressor(level=3).compress(data))
+        found = {"bits": len(bits(missing)), "runs_or_bits": len(pack_mask(missing)), "bits_zstd": small(bits(missing)), "runs_or_bits_zstd": small(pack_mask(missing)), "lat_lon_time_zstd": small(pack_mask(missing.transpose(1, 2, 0)))}
+        return pa.table({"field_id": [key[0].as_py()] * len(found), "t0": pa.array([t0] * len(found), pa.int32()), "layout": list(found), "bytes": list(found.values())})
+
+    start = F.floor(F.col("t") / chunk).cast("int") * chunk
+    cells = cells.select("field_id", F.col("t").cast("int").alias("t"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("value").cast("double").alias("value"), start.alias("t0"))
+    return cells.groupBy("field_id", "t0").applyInArrow(sizes, "field_id string, t0 int, layout string, bytes long")
+
+
 def scan_cells(cells: DataFrame, error_bound: float, ny: int, nx: int, dtype: str = "float64") -> DataFrame:
     """(field_id, t, y, x, symbol, recon) of the valid cells: the scan alone, one task per field."""
     from ..config import derive_step

@@ -144,5 +144,5 @@ def size_metrics(streams: DataFrame) -> DataFrame:
     size, raw = F.sum(F.octet_length("container")), F.sum("uncompressed_size")
     return streams.groupBy("field_id", "error_bound").agg(
         size.cast("bigint").alias("compressed_bytes"), (raw / size).alias("cr"), (100.0 * (1 - size / raw)).alias("reduction_pct"),
-        (8.0 * size / F.sum(F.col("nt").cast("long") * F.col("ny") * F.col("nx"))).alias("bits_per_value"), F.max("max_abs_error").alias("max_abs_error"), F.sum("n_repaired").alias("n_repaired"),
+        (8.0 * size / F.sum(F.col("nt").cast("long") * F.col("ny") * F.col("nx"))).alias("bits_per_value"), F.max("max_abs_error").alias("max_abs_error"), F.sum("n_repaired").alias("n_repaired"), F.sum("payload_size").alias("payload_bytes"),
     )

@@ -98,13 +98,25 @@ def _zigzags(spark: SparkSession, d: str) -> DataFrame:
     return _symbols(spark, d).withColumn("z", zigzag(F.col("symbol")))
 
 
+def _tiles(spark, d):
+    """The grid as a field for each SLICE days, with t from 0 in each."""
+    tile = F.floor(F.col("t") / SLICE)
+    return _cells(spark, d).withColumns({"field_id": tile.cast("string"), "t": (F.col("t") - tile * SLICE).cast("int")})
+
+
+def _day():
+    return (F.col("field_id").cast("int") * SLICE + F.col("t")).cast("int").alias("t")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each cell and its lattice point of BOUND: a decoder's output that SQL can express."""
-    near = F.floor(F.col("value") * (1 / STEP) + 0.5) * STEP
-    return _cells(spark, d).select("field_id", "t", "y", "x", F.col("value").alias("original"), near.alias("decoded"))
+    """Each cell and what the codec's streams of the tiles give back for it."""
+    back = codec.decode_streams(codec.encode_cells(_tiles(spark, d), BOUND, 24, 32, dtype="float64"))
+    back = back.select(_day(), "y", "x", F.when(~F.col("missing"), F.col("value")).alias("decoded"))
+    return _cells(spark, d).withColumnRenamed("value", "original").join(back, ["t", "y", "x"], "left")
 
 
-PAIRS = f"{BASE}, pairs AS (SELECT t, y, x, value AS original, floor(value * (1 / {STEP!r}::DOUBLE) + 0.5) * {STEP!r}::DOUBLE AS decoded FROM cells)"
+PAIRS = f"""{SCAN.removeprefix("WITH ")},
+pairs AS (SELECT s.t, s.y, s.x, s.value AS original, CASE WHEN abs(s.value - recon) > {BOUND}::DOUBLE THEN s.value ELSE recon END AS decoded FROM seq s LEFT JOIN rec USING (c, k))"""
 
 
 # ---------------------------------------------------------------- masks and profiles
@@ -267,16 +279,6 @@ def derived_step(spark, d):
 
 
 # ---------------------------------------------------------------- the scan
-def _tiles(spark, d):
-    """The grid as a field for each SLICE days, with t from 0 in each."""
-    tile = F.floor(F.col("t") / SLICE)
-    return _cells(spark, d).withColumns({"field_id": tile.cast("string"), "t": (F.col("t") - tile * SLICE).cast("int")})
-
-
-def _day():
-    return (F.col("field_id").cast("int") * SLICE + F.col("t")).cast("int").alias("t")
-
-
 @query(f"{SCAN} SELECT t, y, x, q::BIGINT AS symbol FROM rec WHERE q IS NOT NULL")
 def scan_symbols(spark, d):
     return codec.scan_cells(_tiles(spark, d), BOUND, 24, 32).select(_day(), "y", "x", "symbol")
@@ -368,9 +370,9 @@ def challenge_violations(spark, d):
     return metrics.challenge_violations(_pairs(spark, d), 0.03).drop("field_id")
 
 
-@query(f"WITH {PAIRS} SELECT t, y, x, round(CASE WHEN original IS NULL AND decoded IS NULL THEN 0 ELSE decoded - original END, 6) AS error FROM pairs")
+@query(f"WITH {PAIRS} SELECT t, y, x, round(CASE WHEN original IS NULL AND decoded IS NULL THEN 0 ELSE decoded - original END, 6) + 0 AS error FROM pairs")
 def error_field(spark, d):
-    return metrics.error_field(_pairs(spark, d)).select("t", "y", "x", F.round("error", 6).alias("error"))
+    return metrics.error_field(_pairs(spark, d)).select("t", "y", "x", (F.round("error", 6) + F.lit(0.0)).alias("error"))  # no negative zeros
 
 
 # ---------------------------------------------------------------- integers, tables, decisions
@@ -438,6 +440,60 @@ def ctx_size_estimate(spark, d):
     return t.agg(F.round(bits / 8 + 44 + F.expr("sum(total) div 2048") + 3 * F.sum("used"), 3).alias("bytes"))
 
 
+BYTES = " UNION ALL ".join(f"SELECT block, z >> {7 * k} & 127 | CASE WHEN length > {k + 1} THEN 128 ELSE 0 END AS byte FROM coded WHERE length > {k}" for k in range(10))
+#: The choice between RANGE and RAW: up to four times the byte table is made from the blocks chosen so far, and the choice again from the table.
+DECIDED = f"""{SYMBOLS},
+coded AS (SELECT idx // 2048 AS block, z, {VARINT_LEN.format("z")} AS length FROM zz),
+h AS (SELECT block, byte, count(*) AS n FROM ({BYTES}) GROUP BY ALL),
+raw AS (SELECT block, n * {WIDTH} AS raw_bytes FROM (SELECT idx // 2048 AS block, count(*) AS n, min(symbol) AS low, max(symbol) AS high FROM sym GROUP BY ALL)),
+r0 AS (SELECT block FROM raw)""" + "".join(
+    f""",
+t{i} AS (SELECT byte, sum(h.n)::BIGINT AS n FROM h JOIN r{i - 1} USING (block) GROUP BY byte),
+f{i} AS (SELECT byte, f0 + need // k + CASE WHEN r < need % k THEN 1 ELSE 0 END AS freq FROM (SELECT *, 65536 - (sum(f0) OVER ())::BIGINT AS need, count(*) OVER () AS k, row_number() OVER (ORDER BY n DESC, byte) - 1 AS r FROM (SELECT *, greatest(1, n * 65536 // (sum(n) OVER ())::BIGINT) AS f0 FROM t{i}))),
+e{i} AS (SELECT block, sum(CASE WHEN freq > 0 THEN -h.n * log2(freq / 65536) ELSE 0 END) / 8 AS estimate FROM h LEFT JOIN f{i} USING (byte) GROUP BY block),
+r{i} AS (SELECT block FROM e{i} JOIN raw USING (block) WHERE estimate + 2 < raw_bytes)"""
+    for i in range(1, 5)
+)
+
+
+def _decided(spark, d):
+    """(block, raw_bytes, estimate, mode): estimated bytes of a range-coded block, and whether that is its mode."""
+    z = _zigzags(spark, d).select(F.floor(F.col("idx") / 2048).alias("block"), "z", varint_length(F.col("z")).alias("length"))
+    byte = F.expr("transform(sequence(0, length - 1), k -> cast(shiftrightunsigned(z, 7 * k) & 127 as int) | if(k < length - 1, 128, 0))")
+    counts = z.select("block", F.explode(byte).alias("byte")).groupBy("block", "byte").agg(F.count("*").alias("n"))
+    raw = block_width(spark, d).select("block", (F.col("n") * F.col("width")).alias("raw_bytes"))
+    chosen = raw
+    for _ in range(4):
+        table = counts.join(chosen.select("block"), "block").groupBy(F.lit(0).alias("one"), "byte").agg(F.sum("n").alias("n"))
+        cost = normalize(table, ["one"], "byte", "n").select("byte", (-F.log2(F.col("freq") / 65536)).alias("cost"))  # at most 256 rows
+        estimate = counts.join(F.broadcast(cost), "byte", "left").groupBy("block").agg((F.sum(F.col("n") * F.coalesce("cost", F.lit(0.0))) / 8).alias("estimate"))
+        found = raw.join(estimate, "block")
+        chosen = found.filter(F.col("estimate") + 2 < F.col("raw_bytes"))
+    return found.withColumn("mode", F.when(F.col("estimate") + 2 < F.col("raw_bytes"), "RANGE").otherwise("RAW"))
+
+
+@query(f"WITH {DECIDED} SELECT block, raw_bytes::BIGINT AS raw_bytes, round(estimate, 4) AS estimate, CASE WHEN estimate + 2 < raw_bytes THEN 'RANGE' ELSE 'RAW' END AS mode FROM e4 JOIN raw USING (block)")
+def block_modes(spark, d):
+    return _decided(spark, d).select("block", "raw_bytes", F.round("estimate", 4).alias("estimate"), "mode")
+
+
+@query(f"WITH {DECIDED} SELECT CASE WHEN estimate + 2 < raw_bytes THEN 'RANGE' ELSE 'RAW' END AS mode, count(*) AS blocks FROM e4 JOIN raw USING (block) GROUP BY ALL")
+def mode_counts(spark, d):
+    return _decided(spark, d).groupBy("mode").agg(F.count("*").alias("blocks"))
+
+
+@query(f"""WITH {DECIDED}, one AS (SELECT count(*) AS n FROM sym),
+c AS (SELECT 'int32' AS coder, 4.0::DOUBLE * n AS bytes FROM one UNION ALL SELECT 'varint', sum(length)::DOUBLE FROM coded UNION ALL SELECT 'raw_blocks', sum(raw_bytes)::DOUBLE FROM raw
+  UNION ALL SELECT 'range_blocks', sum(least(estimate + 2, raw_bytes)) FROM e4 JOIN raw USING (block))
+SELECT coder, round(bytes, 3) AS bytes, round(8 * bytes / n, 6) AS bits_per_symbol, round(100 * bytes / (4 * n), 6) AS pct_of_int32 FROM c, one""")
+def coder_comparison(spark, d):
+    n = _symbols(spark, d).agg(F.count("*").alias("n"))  # one row
+    rows = coder_baselines(spark, d).select("coder", F.col("bytes").cast("double").alias("bytes"))
+    best = _decided(spark, d).agg(F.sum(F.least(F.col("estimate") + 2, F.col("raw_bytes").cast("double"))).alias("bytes")).select(F.lit("range_blocks").alias("coder"), "bytes")
+    b, k = F.col("bytes"), F.col("n")
+    return rows.unionByName(best).join(F.broadcast(n)).select("coder", F.round(b, 3).alias("bytes"), F.round(8 * b / k, 6).alias("bits_per_symbol"), F.round(100 * b / (4 * k), 6).alias("pct_of_int32"))
+
+
 @query(f"""WITH {SYMBOLS}, b AS (SELECT n, {WIDTH} AS width FROM (SELECT count(*) AS n, min(symbol) AS low, max(symbol) AS high FROM sym GROUP BY idx // 2048))
 SELECT 'int32' AS coder, 4 * count(*) AS bytes FROM sym UNION ALL SELECT 'varint', sum({VARINT_LEN.format('z')})::BIGINT FROM zz UNION ALL SELECT 'raw_blocks', sum(n * width)::BIGINT FROM b""")
 def coder_baselines(spark, d):
@@ -481,6 +537,32 @@ def best_run(spark, d):
     return runs[0].unionByName(runs[1]).unionByName(runs[2]).agg(F.max_by("error_bound", "cr").alias("error_bound"))
 
 
+@query()
+def stream_modes(spark, d):
+    """Blocks of each mode in the streams themselves."""
+    return codec.stream_modes(codec.encode_cells(_cells(spark, d), BOUND, 24, 32, chunk=8, dtype="float64")).groupBy("mode").agg(F.sum("blocks").alias("blocks"))
+
+
+@query()
+def mask_layouts(spark, d):
+    return codec.mask_layouts(_cells(spark, d), 24, 32, 8).groupBy("layout").agg(F.sum("bytes").alias("bytes"))
+
+
+@query()
+def sweep_sizes(spark, d):
+    """The sweep over bounds with and without outer compression: ratio, bytes of the payload, and whether every bound held."""
+    cells = _cells(spark, d)
+    runs = [metrics.size_metrics(codec.encode_cells(cells, b, 24, 32, chunk=8, dtype="float64", outer_compress=o)).withColumn("outer_zstd", F.lit(o)) for b in (0.01, 0.05, 0.2) for o in (True, False)]
+    return reduce(DataFrame.unionByName, runs).withColumn("verified", F.col("max_abs_error") <= F.col("error_bound")).drop("field_id")
+
+
+@query()
+def sweep_series(spark, d):
+    """The verified runs of the sweep as a series of ratios by bound for each setting of outer compression."""
+    points = F.array_sort(F.collect_list(F.struct("error_bound", "cr")))  # three points a series
+    return sweep_sizes(spark, d).filter("verified").groupBy("outer_zstd").agg(points.alias("series"))
+
+
 @query()
 def size_metrics(spark, d):
     return metrics.size_metrics(codec.encode_cells(_cells(spark, d), BOUND, 24, 32, chunk=8, dtype="float64"))

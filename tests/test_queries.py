@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fieldpress.cli import main
 from fieldpress.functions.freqs import normalize, normalize_np
-from fieldpress.operators import codec, grid
+from fieldpress.operators import codec, grid, metrics
 from fieldpress.plans import catalog
 from fieldpress.sources import read_npy, synthetic_array, synthetic_wave
-from fieldpress.streaming.profiles import windowed_stats
+from fieldpress.streaming.profiles import encode_batches, windowed_stats
 
 from .test_kernels import walked
 
@@ -109,3 +109,62 @@ def test_scan_of_all_days(spark):
     k = np.unique(symbols, return_counts=True)[1]
     (one,) = run("pred_stencil_all")
     assert one.n == len(symbols) and abs(one.entropy_bits - (np.log2(k.sum()) - (k * np.log2(k)).sum() / k.sum())) < 1e-5
+
+
+def test_runs_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(grid, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    value = [None if v else 1.0 for v in np.repeat(rng.random(30) < 0.5, rng.integers(1, 20, 30))]
+    cells = spark.createDataFrame([(f, i // 10, i % 10, 0, v) for f in "ab" for i, v in enumerate(value)], "field_id string, t int, y int, x int, value double")
+    got = sorted(tuple(r) for r in grid.mask_runs(cells).collect())
+    edges = [i for i in range(len(value)) if i == 0 or (value[i] is None) != (value[i - 1] is None)]
+    assert got == [(f, k, int(value[i] is None), i, j - i) for f in "ab" for k, (i, j) in enumerate(zip(edges, [*edges[1:], len(value)]))]
+
+
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.99, 1.0])
+def test_quantiles(spark, p):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.lognormal(0, 3, 999), "b": np.round(rng.normal(0, 2, 500)), "c": np.array([4.0]), "d": np.full(7, 2.5)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("a", None)], "k string, v double")
+    got = {r.k: r["quantile"] for r in metrics.quantile(df, "k", "v", p).collect()}
+    assert set(got) == set(groups) and all(np.isclose(got[k], np.quantile(x, p)) for k, x in groups.items())
+
+
+def test_sizes_modes_and_layouts(spark):
+    streams = codec.encode_cells(catalog._cells(spark, FOLDER), catalog.BOUND, 24, 32, chunk=8, dtype="float64").collect()
+    size, cells = sum(len(r.container) for r in streams), sum(r.nt * r.ny * r.nx for r in streams)
+    (one,) = catalog.QUERIES["size_metrics"](spark, FOLDER).collect()
+    assert one.compressed_bytes == size and abs(one.bits_per_value - 8 * size / cells) < 1e-9 and abs(one.cr - 8 * cells / size) < 1e-9
+    modes = {r["mode"]: r.blocks for r in catalog.QUERIES["stream_modes"](spark, FOLDER).collect()}
+    assert sum(modes.values()) == sum(-(-r.n_valid // 2048) for r in streams)
+    layouts = {r.layout: r.bytes for r in catalog.QUERIES["mask_layouts"](spark, FOLDER).collect()}
+    assert layouts["bits"] == sum(-(-r.nt * 768 // 8) for r in streams) and layouts["runs_or_bits"] <= layouts["bits"] and len(layouts) == 5
+    sweep = catalog.QUERIES["sweep_sizes"](spark, FOLDER).collect()
+    assert len(sweep) == 6 and all(r.verified for r in sweep)
+    by = {(r.error_bound, r.outer_zstd): r.compressed_bytes for r in sweep}
+    assert by[0.01, True] > by[0.05, True] > by[0.2, True] and all(by[b, True] <= by[b, False] for b, _ in by)
+    assert all(r.payload_bytes < r.compressed_bytes for r in sweep if not r.outer_zstd)
+    series = {r.outer_zstd: [p.error_bound for p in r.series] for r in catalog.QUERIES["sweep_series"](spark, FOLDER).collect()}
+    assert series == {True: [0.01, 0.05, 0.2], False: [0.01, 0.05, 0.2]}
+
+
+def test_errors_in_the_fields_type(spark):
+    near = float(np.float32(1.05))
+    pairs = spark.createDataFrame([("f", 1.0, near), ("f", 2.0, 2.0)], "field_id string, original double, decoded double")
+    (r,) = metrics.error_metrics(pairs, near - 1.0, "float").collect()
+    assert r.violations == 0 and r.bound_respected
+    (r,) = metrics.error_metrics(pairs, 0).collect()
+    assert r.bound_respected and r.violations == 0
+    same = spark.createDataFrame([("f", -9.0, -9.0), ("f", 1.0, 1.1), ("g", -9.0, 1.0)], "field_id string, original double, decoded double")
+    assert {r.field_id: r.sentinel_identical for r in metrics.sentinel_identity(same, -9.0).collect()} == {"f": True, "g": False}
+
+
+def test_streamed_batches(spark, tmp_path):
+    rows = [("f", t, y, x, -9.0 if x == 1 else t + y + x * 0.5) for t in range(2) for y in range(3) for x in range(4)]
+    spark.createDataFrame(rows, "field_id string, t int, y int, x int, value double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("field_id string, t int, y int, x int, value double").parquet(str(tmp_path / "in"))
+    q = encode_batches(stream, str(tmp_path / "out"), 0.05, 3, 4, dtype="float64", missing_value=-9.0, outer_compress=False).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    back = codec.decode_streams(spark.read.parquet(str(tmp_path / "out"))).collect()
+    assert len(back) == 24 and all(r.missing == (r.x == 1) and (r.missing or abs(r.value - (r.t + r.y + r.x * 0.5)) <= 0.05) for r in back)
