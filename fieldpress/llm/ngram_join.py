@@ -1,18 +1,22 @@
 """Operator 9: all links between documents whose n-gram sets have a Jaccard similarity of at least num/den, as classes.
 
 1. Documents with equal sets are one: a set goes by a hash of its n-grams.
-2. The global order: every (n-gram, set) goes to a bucket of n-grams, where sets are counted. N-grams of one set alone
-   end there; the others go back to their set with their count. A set's list is ordered rarest first.
-3. Prefix filter: sets that link share an n-gram among the first n - ceil(n * num / den) + 1 of each, those that one set
+2. First filter: sets that link share, in the order of hashes, at least e + 1 of the first n - ceil(n * num / den) + 1 + e
+   n-grams of each, for any e. Those n-grams alone are counted; a set in which too few stand twice has no partner. The others
+   are marked in a bit table of fixed size (``BITS``), which lets some more through where there are many.
+3. The global order: every (n-gram, set) that is left goes to a bucket of n-grams, where sets are counted. N-grams of one set
+   alone end there; the others go back to their set with their count. A set's list is ordered rarest first.
+4. Prefix filter: sets that link share an n-gram among the first n - ceil(n * num / den) + 1 of each, those that one set
    alone has included. So a set with that many n-grams of its own has no partner, and of the others only the
    n-grams left in that prefix, its *head*, make groups. Groups with the same members are one.
-4. Stars: a set is compared exactly with central members of its groups. Links make provisional classes, so that large
+5. Stars: a set is compared exactly with central members of its groups. Links make provisional classes, so that large
    groups of copies are connected by as many comparisons as they have members.
-5. Prefix tree (``trie``): in groups that still hold several classes, heads in the global order make a tree, and members
+6. Prefix tree (``trie``): in groups that still hold several classes, heads in the global order make a tree, and members
    outside the group's largest class walk it: partial overlaps are shared below a node, subtrees whose remaining lengths
    can't reach the overlap needed are pruned, and a pair is met only in the group of its first common n-gram. Large groups
    are cut into blocks of members and blocks of those that walk, and each pair of blocks is a task's.
-6. What the tree leaves is verified on whole lists; links and equal sets make classes by ``connected_components``.
+7. What the tree leaves is verified on whole lists; links make classes of sets by ``connected_components``, and documents
+   have the class of their set.
 
 N-grams that a large share of all sets has would crowd a bucket: those that stand out in a task's part are counted apart,
 the most frequent of them (at most ``1 / HOT_SHARE``) are known to all tasks and don't go through buckets.
@@ -44,6 +48,8 @@ CHUNK, BUCKET = 1 << 20, 1 << 19
 SEEN = 100_000
 #: An n-gram that this share of all n-grams in sets is, and so many sets have, doesn't go through its bucket.
 HOT_SHARE, HOT_SETS = 1 / (1 << 20), 1 << 16
+#: Bits of the table of sets that the first filter leaves.
+BITS = 1 << 26
 #: Members of a block of a group: a task has one block of members and one of those that walk.
 BLOCK = 256
 _LOW = np.uint64((1 << 44) - 1)
@@ -129,50 +135,184 @@ def _slices(values: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield int(of[i]), slice(i, j)
 
 
-ENTRIES = "bucket int, grams binary, place binary, sets binary, sizes binary"
+# The first filter ------------------------------------------------------------
+def _prefix(n: int, num: int, den: int) -> tuple[int, int]:
+    """(n-grams that are looked at, how many of them a partner has at least) of a set of n."""
+    first = lambda k: k - -(-num * k // den) + 1
+    spare = lambda k: min(first(k) // 2, k - first(k))
+    return first(n) + spare(n), spare(-(-num * n // den)) + 1  # a partner may be smaller
 
 
-def _entries(n: int, num: int, den: int, buckets: int, hot: np.ndarray):
-    """ENTRIES: for each bucket n-grams, and of which set each is. N-grams of ``hot`` go to buckets of their own, behind the others."""
-    names = ["bucket", "grams", "place", "sets", "sizes"]
+def _cut(x: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of each number."""
+    return np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    def flushed(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        a, sizes = np.array([k for k, _ in held], np.int64), np.array([len(s) for _, s in held], np.int64)
-        grams, of, out = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held)), sizes), []
 
-        def add(bucket: int, g: np.ndarray, o: np.ndarray) -> None:
-            own, place = np.unique(o, return_inverse=True)
-            out.append((bucket, g.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), place.astype("<u4" if len(own) > 65_535 else "<u2").tobytes(), a[own].tobytes(), sizes[own].astype("<i4").tobytes()))
+def _uncut(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
 
-        if len(hot):
-            apart = np.isin(grams, hot)
-            if apart.any():
-                add(buckets + int(a[0] % buckets), grams[apart], of[apart])
-            grams, of = grams[~apart], of[~apart]
-        order = np.argsort(grams)
-        grams, of = grams[order], of[order]
-        for bucket, some in _slices(grams, buckets):
-            add(bucket, grams[some], of[some])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out))], names=names)
+
+_TAG = np.uint64((1 << 40) - 1)
+COUNTED = "bucket int, grams binary, tags binary, needs binary"
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(hash, n-grams) of the sets of a task, in portions; a set that it has given isn't given again."""
+    seen: set[int] = set()
+    held, size = [], 0
+    for batch in batches:
+        for doc, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            s = shingles(x.as_py(), n)
+            if doc is None or not len(s) or (a := set_hash(s)) in seen:
+                continue
+            if len(seen) < SEEN:
+                seen.add(a)
+            held.append((a, s))
+            size += len(s)
+            if size > CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out) if out else [()] * len(names))], names=names)
+
+
+def _first_grams(n: int, num: int, den: int, buckets: int):
+    """COUNTED: n-grams of each set's beginning, and in a bucket behind the others how many of them must stand twice."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a set that this task has sent needn't be sent again
-        held, size = [], 0
-        for batch in batches:
-            for doc, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                s = shingles(x.as_py(), n)
-                if doc is None or not len(s) or (a := set_hash(s)) in seen:
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(a)
-                held.append((a, s))
-                size += len(s)
-                if size > CHUNK:
-                    yield flushed(held)
-                    held, size = [], 0
-        if held:
-            yield flushed(held)
-        del held, seen
+        for held in _distinct(batches, n):
+            size = [_prefix(len(s), num, den) for _, s in held]
+            tags = np.array([a for a, _ in held], np.int64).view(np.uint64) & _TAG
+            grams, tag = mix(np.concatenate([s[:k] for (_, s), (k, _) in zip(held, size)])), np.repeat(tags, [k for k, _ in size])
+            order = np.argsort(grams)
+            grams, tag = grams[order], tag[order]
+            out = [(bucket, _cut(grams[some], 5), _cut(tag[some], 5), b"") for bucket, some in _slices(grams, buckets)]
+            out.append((buckets + int(tags[0] % np.uint64(buckets)), b"", _cut(tags, 5), np.array([k for _, k in size], "<i4").tobytes()))
+            yield _rows(out, ["bucket", "grams", "tags", "needs"])
+        _release()
+
+    return rows
+
+
+TWICE = "part int, tags binary, counts binary, needs binary"
+
+
+def _twice(buckets: int):
+    """TWICE: how many n-grams of a bucket each set has that another one has too."""
+
+    def sent(held: list[tuple[np.ndarray, np.ndarray]], needs: bool) -> pa.RecordBatch:
+        tag, count = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(tag, kind="stable")
+        tag, count, out = tag[order], count[order], []
+        for part, some in _slices(tag << np.uint64(24), buckets):
+            numbers = count[some].astype("<i4").tobytes()
+            out.append((part, _cut(tag[some], 5), b"" if needs else numbers, numbers if needs else b""))
+        return _rows(out, ["part", "tags", "counts", "needs"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, needs, m = [], [], 0
+        for some in _grouped(batches):
+            tag = _uncut(b"".join(r[2] for r in some), 5)
+            if some[0][0] >= buckets:
+                needs.append((tag, np.frombuffer(b"".join(r[3] for r in some), "<i4")))
+            else:
+                gram = _uncut(b"".join(r[1] for r in some), 5)
+                order = np.lexsort((tag, gram))
+                gram, tag = gram[order], tag[order]
+                new = np.r_[True, (gram[1:] != gram[:-1]) | (tag[1:] != tag[:-1])]
+                gram, tag = gram[new], tag[new]
+                same = gram[1:] == gram[:-1]
+                tags, count = np.unique(tag[np.r_[False, same] | np.r_[same, False]], return_counts=True)
+                held.append((tags, count))
+            m += len(tag)
+            if m > 2 * CHUNK:
+                for x, last in ((held, False), (needs, True)):
+                    if x:
+                        yield sent(x, last)
+                held, needs, m = [], [], 0
+        for x, last in ((held, False), (needs, True)):
+            if x:
+                yield sent(x, last)
+        del held, needs
+        _release()
+
+    return rows
+
+
+def _places(tags: np.ndarray) -> np.ndarray:
+    """Two bits of the table for each tag."""
+    return np.concatenate([mix(tags), mix(tags ^ np.uint64(0xA5A5A5A5A5A5A5A5))]) % np.uint64(BITS)
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bit) of the sets of which enough n-grams stand twice."""
+    for some in _grouped(batches):
+        counted = [r for r in some if r[2]]
+        needed_ = [r for r in some if r[3]]
+        if not counted or not needed_:
+            continue
+        tags, of = np.unique(_uncut(b"".join(r[1] for r in counted), 5), return_inverse=True)
+        count = np.bincount(of, weights=np.frombuffer(b"".join(r[2] for r in counted), "<i4"))
+        tag, need = _uncut(b"".join(r[1] for r in needed_), 5), np.frombuffer(b"".join(r[3] for r in needed_), "<i4")
+        at = np.searchsorted(tags, tag).clip(max=len(tags) - 1)
+        good = (tags[at] == tag) & (count[at] >= need)
+        if good.any():
+            yield pa.RecordBatch.from_arrays([pa.array(_places(np.unique(tag[good])).astype(np.int64))], names=["bit"])
+
+
+def first_filter(docs: DataFrame, total: int, n: int, num: int, den: int) -> np.ndarray:
+    """The bit table of the sets that may have a partner; ``BITS`` bits at any input."""
+    buckets = max(64, -(-total * 3 * (den - num) // (2 * den * BUCKET)))
+    counted = docs.mapInArrow(_first_grams(n, num, den, buckets), COUNTED)
+    twice = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_twice(buckets), TWICE)
+    bits = twice.repartition("part").sortWithinPartitions("part").mapInArrow(_left, "bit long")
+    one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    out = np.zeros(BITS // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # at most BITS / 64 rows
+        out[batch["word"].to_numpy()] = batch["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _marked(table: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    at = _places(tags)
+    on = (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return on[: len(tags)] & on[len(tags) :]
+
+
+# The global order ------------------------------------------------------------
+ENTRIES = "bucket int, grams binary, sets binary, sizes binary"
+
+
+def _entries(n: int, buckets: int, hot: np.ndarray, table):
+    """ENTRIES: for each bucket n-grams, and of which set each is. Behind the buckets go n-grams of ``hot``, and the sizes of sets."""
+    names = ["bucket", "grams", "sets", "sizes"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _distinct(batches, n):
+            tags = np.array([a for a, _ in held], np.int64).view(np.uint64) & _TAG
+            held = [x for x, on in zip(held, _marked(table.value, tags)) if on]
+            if not held:
+                continue
+            a, sizes = np.array([k for k, _ in held], np.int64), np.array([len(s) for _, s in held], np.int64)
+            grams, of, out = np.concatenate([s for _, s in held]), np.repeat(a, sizes), []
+            behind = buckets + int(a[0] % buckets)
+            if len(hot):
+                apart = np.isin(grams, hot)
+                if apart.any():
+                    out.append((behind, _cut(grams[apart], 6), of[apart].tobytes(), b""))
+                grams, of = grams[~apart], of[~apart]
+            order = np.argsort(grams)
+            grams, of = grams[order], of[order]
+            out += [(bucket, _cut(grams[some], 6), of[some].tobytes(), b"") for bucket, some in _slices(grams, buckets)]
+            out.append((behind, b"", a.tobytes(), sizes.astype("<i4").tobytes()))
+            yield _rows(out, names)
         _release()
 
     return rows
@@ -191,50 +331,55 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-SHARED = "part int, sets binary, sizes binary, counts binary, grams binary, dfs binary"
+SHARED = "part int, sets binary, counts binary, grams binary, dfs binary, sizes binary"
 
 
 def _shared(buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
-    """SHARED: n-grams that several sets have, with the number of sets, dealt out by set."""
-    names = ["part", "sets", "sizes", "counts", "grams", "dfs"]
+    """SHARED: n-grams that several sets have, with the number of sets, dealt out by set; and sets with their sizes."""
+    names = ["part", "sets", "counts", "grams", "dfs", "sizes"]
     # Those that go by themselves are known by their lower 48 bits.
     by = np.argsort(hot & np.uint64((1 << 48) - 1), kind="stable")
     short, rank = (hot & np.uint64((1 << 48) - 1))[by], np.argsort(np.argsort(hot_sets, kind="stable"))[by]
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        a, size, gram, df = (np.concatenate(c) for c in zip(*held))
+        a, gram, df = (np.concatenate(c) for c in zip(*held))
         order = np.argsort(a, kind="stable")
-        a, size, gram, df, out = a[order], size[order], gram[order], df[order], []
+        a, gram, df, out = a[order], gram[order], df[order], []
         for part, some in _slices(a, buckets):
             at = np.flatnonzero(np.r_[True, a[some][1:] != a[some][:-1]])
             count = np.diff(np.r_[at, some.stop - some.start]).astype("<i4")
-            out.append((part, a[some][at].tobytes(), size[some][at].tobytes(), count.tobytes(), gram[some].tobytes(), df[some].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out))], names=names)
+            out.append((part, a[some][at].tobytes(), count.tobytes(), gram[some].tobytes(), df[some].tobytes(), b""))
+        return _rows(out, names)
+
+    def sizes(a: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(a, kind="stable")
+        a, size = a[order], size[order]
+        return _rows([(part, a[some].tobytes(), b"", b"", b"", size[some].tobytes()) for part, some in _slices(a, buckets)], names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, m = [], 0
         for some in _grouped(batches):
-            low = np.frombuffer(b"".join(r[1] for r in some), np.uint8).reshape(-1, 6)
-            gram = np.zeros((len(low), 8), np.uint8)
-            gram[:, :6] = low
-            gram = gram.view(np.uint64).ravel()
-            of = [np.frombuffer(r[2], "<u2" if len(r[3]) <= 8 * 65_535 else "<u4") for r in some]
-            a = np.concatenate([np.frombuffer(r[3], np.uint64)[o] for r, o in zip(some, of)])
-            size = np.concatenate([np.frombuffer(r[4], "<i4")[o] for r, o in zip(some, of)])
+            known = [r for r in some if r[3]]
+            if known:
+                yield sizes(np.frombuffer(b"".join(r[2] for r in known), np.uint64), np.frombuffer(b"".join(r[3] for r in known), "<i4"))
+            some = [r for r in some if r[1]]
+            if not some:
+                continue
+            gram, a = _uncut(b"".join(r[1] for r in some), 6), np.frombuffer(b"".join(r[2] for r in some), np.uint64)
             if some[0][0] < buckets:
                 gram |= np.uint64(some[0][0] & 0xFFFF) << np.uint64(48)
                 order = np.lexsort((a, gram))
-                gram, a, size = gram[order], a[order], size[order]
+                gram, a = gram[order], a[order]
                 new = np.r_[True, (gram[1:] != gram[:-1]) | (a[1:] != a[:-1])]  # a set that several tasks have sent counts once
-                gram, a, size = gram[new], a[new], size[new]
+                gram, a = gram[new], a[new]
                 first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
                 count = np.diff(np.r_[first, len(gram)])
                 df = np.repeat(count, count).astype("<i4")
-                gram, a, size, df = gram[df > 1], a[df > 1], size[df > 1], df[df > 1]
+                gram, a, df = gram[df > 1], a[df > 1], df[df > 1]
             else:
                 df = np.full(len(gram), _MOST, "<i4") - (len(hot) - 1 - rank[np.searchsorted(short, gram)]).clip(max=_MOST // 2).astype("<i4")
             if len(gram):
-                held.append((a, size, gram, df))
+                held.append((a, gram, df))
                 m += len(gram)
             if m > CHUNK:
                 yield sent(held)
@@ -255,18 +400,20 @@ def _lists(num: int, den: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _grouped(batches):
-            count = np.concatenate([np.frombuffer(r[3], "<i4") for r in some])
-            a = np.repeat(np.concatenate([np.frombuffer(r[1], np.uint64) for r in some]), count)
-            size = np.repeat(np.concatenate([np.frombuffer(r[2], "<i4") for r in some]), count)
-            gram = np.concatenate([np.frombuffer(r[4], np.uint64) for r in some])
-            df = np.concatenate([np.frombuffer(r[5], "<i4") for r in some])
+            known, some = [r for r in some if r[5]], [r for r in some if r[2]]
+            if not some:
+                continue
+            whole, first = np.unique(np.frombuffer(b"".join(r[1] for r in known), np.uint64), return_index=True)
+            size = np.frombuffer(b"".join(r[5] for r in known), "<i4")[first]
+            a = np.repeat(np.frombuffer(b"".join(r[1] for r in some), np.uint64), np.frombuffer(b"".join(r[2] for r in some), "<i4"))
+            gram, df = np.frombuffer(b"".join(r[3] for r in some), np.uint64), np.frombuffer(b"".join(r[4] for r in some), "<i4")
             key = np.minimum(df, _MOST).astype(np.uint64) << np.uint64(44) | gram & _LOW
             order = np.lexsort((gram, key, a))
-            a, gram, key, size = a[order], gram[order], key[order], size[order]
+            a, gram, key = a[order], gram[order], key[order]
             new = np.r_[True, (a[1:] != a[:-1]) | (gram[1:] != gram[:-1])]
-            a, gram, key, size = a[new], gram[new], key[new], size[new]
+            a, gram, key = a[new], gram[new], key[new]
             at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            shared, n = np.diff(np.r_[at, len(a)]), size[at].astype(np.int64)
+            shared, n = np.diff(np.r_[at, len(a)]), size[np.searchsorted(whole, a[at])].astype(np.int64)
             head = n - -(-num * n // den) + 1 - (n - shared)
             keep = np.flatnonzero(head > 0)
             if len(keep):
@@ -368,7 +515,8 @@ def set_links(docs: DataFrame, total: int, hot: list, n: int, num: int, den: int
     buckets = max(64, -(-total // BUCKET))
     often = sorted((int(g) & 0xFFFFFFFFFFFFFFFF, int(k)) for g, k in hot)
     grams, counts = np.array([g for g, _ in often], np.uint64), np.array([k for _, k in often], np.int64)
-    entries = docs.mapInArrow(_entries(n, num, den, buckets, grams), ENTRIES)
+    table = docs.sparkSession.sparkContext.broadcast(first_filter(docs, total, n, num, den))  # BITS bits
+    entries = docs.mapInArrow(_entries(n, buckets, grams, table), ENTRIES)
     shared = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets, grams, counts), SHARED)
     lists = written(shared.repartition("part").sortWithinPartitions("part").mapInArrow(_lists(num, den), LISTS), "lists")
     heads = lists.select("a", "score", "head").mapInArrow(_heads, "token long, a long, score int")
@@ -382,11 +530,13 @@ def set_links(docs: DataFrame, total: int, hot: list, n: int, num: int, den: int
     best = rest.groupBy("a").agg(F.min("centre").alias("one"), F.min_by("centre", "token").alias("two")).select("a", F.explode(F.array("one.a", "two.a")).alias("y"))
     stars = best.unionByName(rest.filter("k = 2").select("a", F.col("centre.a").alias("y"))).withColumnRenamed("a", "x").distinct()
     links = written(_links(written(stars, "stars"), lists, num, den), "links")
-    walkers = _open(members.filter("k > 2"), connected_components(links.toDF("a", "b")))
+    up = links.groupBy("x").agg(F.min("y").alias("y"))  # provisional classes: two steps up the stars
+    labels = up.join(up.toDF("y", "z"), "y", "left").select(F.col("x").alias("node"), F.coalesce("z", "y").alias("root"))
+    walkers = _open(members.filter("k > 2"), labels)
     walkers = walkers.join(lists.select("a", "n", "shared", "head"), "a").select("token", "block", "part", "a", "label", "outside", "own", "n", "shared", "head")
     near = walkers.repartition("token", "block", "part").sortWithinPartitions("token", "block", "part").mapInArrow(_walks(num, den), "x long, y long")
     near = written(near, "near")
-    return links.unionByName(written(_links(near, lists, num, den), "links"))
+    return links.unionByName(_links(near, lists, num, den))
 
 
 def ngram_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -402,10 +552,14 @@ def ngram_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     links = set_links(docs, total, hot, n, num, den)
     for end in ("x", "y"):  # each set goes by its smallest document
         links = links.join(sets.select(F.col("a").alias(end), F.col("one").alias(f"{end}_")), end)
-    copies = known.join(sets.filter("k > 1").select("a", "one"), "a").filter("doc_id <> one")
-    edges = links.select(F.col("x_").alias("a"), F.col("y_").alias("b")).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("one").alias("b")))
-    roots = connected_components(edges).withColumnRenamed("node", "doc_id")
-    return facts.join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    links = links.select(F.col("x_").alias("a"), F.col("y_").alias("b"))
+    placed = facts.join(sets.select("a", "one"), "a", "left")  # null where a document has no class
+    # Sets that share a doc_id are connected by it.
+    shared = placed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("one").alias("a"), F.max("one").alias("b"), F.countDistinct("one").alias("k"))
+    several = placed.join(shared.filter("k > 1").select("doc_id", F.col("a").alias("b")), "doc_id").select(F.col("one").alias("a"), "b")
+    roots = connected_components(links.unionByName(several)).toDF("one", "root")
+    out = placed.join(roots, "one", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", F.when(F.col("n_shingles") > 0, F.col("one")), "doc_id")).alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

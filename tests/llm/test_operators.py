@@ -219,6 +219,19 @@ def test_near_copies_of_many_degrees(spark, monkeypatch, block, hot, n, num):
     assert 10 < len({c for _, _, c in expected}) < len(rows) - 40
 
 
+def test_first_filter_loses_no_pair():
+    rng = np.random.default_rng(15)
+    for num in (80, 90):
+        for _ in range(400):
+            n = int(rng.integers(1, 120))
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.r_[x[rng.random(len(x)) > rng.random() * 0.25], rng.integers(0, 1 << 63, rng.integers(0, 12)).astype(np.uint64)])
+            both = len(np.intersect1d(x, y))
+            if len(y) and 100 * both >= num * (len(x) + len(y) - both):
+                (kx, ax), (ky, ay) = (ngram_join._prefix(len(s), num, 100) for s in (x, y))
+                assert len(np.intersect1d(x[:kx], y[:ky])) >= max(ax, ay)
+
+
 @pytest.mark.parametrize("whole", [True, False])
 def test_trie_finds_all_pairs(whole):
     rng = np.random.default_rng(8)
