@@ -247,14 +247,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Vectors of all rows, in units of UNIT: their contexts in all documents, less the mean of all; zero where none was met."""
     sums = docs.select("text").mapInArrow(_partial, PARTIAL)
     summed = written(sums.repartition("part").sortWithinPartitions("part").mapInArrow(_summed, SUMMED), "contexts")
-    v, met = np.zeros((ROWS, DIM)), np.zeros(ROWS, bool)
-    for r in summed.toLocalIterator():  # PARTS rows
-        met[r["part"] :: PARTS] = np.frombuffer(r["met"], bool)
-        v[r["part"] :: PARTS] = np.frombuffer(r["vectors"], "<f2").astype(float).reshape(-1, DIM)
-    if met.any():
-        # The shared direction of all contexts says nothing; what is left is what tells terms apart.
-        v[met] -= v[met].mean(axis=0)
-    return np.rint(v / UNIT).clip(-32_767, 32_767).astype(np.int16)
+    parts = [(r["part"], np.frombuffer(r["met"], bool), np.frombuffer(r["vectors"], "<f2").reshape(-1, DIM)) for r in summed.toLocalIterator()]  # PARTS rows
+    out = no_vectors()
+    # The shared direction of all contexts says nothing; what is left is what tells terms apart.
+    parts.sort(key=lambda r: r[0])
+    mean = sum((v.sum(axis=0, dtype=np.float64) for _, _, v in parts), np.zeros(DIM)) / max(1, sum(int(met.sum()) for _, met, _ in parts))
+    for part, met, v in parts:
+        out[part::PARTS] = np.where(met[:, None], np.rint((v.astype(np.float64) - mean) / UNIT).clip(-32_767, 32_767), 0)
+    return out
 
 
 # ---------------------------------------------------------------- texts' vectors

@@ -31,7 +31,7 @@ from .common import discard, mix, prefix, signed, span_hash, window_minima, writ
 #: Windows that are worked on at a time, so that memory doesn't grow with a document.
 CHUNK = 1 << 19
 #: Contexts of one anchor that are compared by one task at most.
-HOT = 256
+HOT = 1024
 
 
 @dataclass(frozen=True)
