@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +66,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- hashes
 class Hashes(dict):
     """64-bit hashes of words, kept until there are ``limit`` of them."""

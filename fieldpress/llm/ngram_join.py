@@ -29,8 +29,6 @@ of hash, n-grams by 48 and their bucket.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, mix, prefix, shingle_hashes, signed, span_hash, word_hashes, written
+from .common import discard, mix, prefix, release, shingle_hashes, signed, span_hash, word_hashes, written
 from .components import connected_components
 from .trie import Trie, needed
 
@@ -56,13 +54,6 @@ _LOW = np.uint64((1 << 44) - 1)
 _MOST = (1 << 19) - 1
 
 
-def _release() -> None:
-    """Gives freed memory back to the system: a worker stays for later tasks."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's n-grams (A-Z lower-cased)."""
     if not text:
@@ -122,7 +113,7 @@ def _sets(n: int):
         if held:
             yield often(held)
         del held
-        _release()
+        release()
 
     return rows
 
@@ -195,7 +186,7 @@ def _first_grams(n: int, num: int, den: int, buckets: int):
             out = [(bucket, _cut(grams[some], 5), _cut(tag[some], 5), b"") for bucket, some in _slices(grams, buckets)]
             out.append((buckets + int(tags[0] % np.uint64(buckets)), b"", _cut(tags, 5), np.array([k for _, k in size], "<i4").tobytes()))
             yield _rows(out, ["bucket", "grams", "tags", "needs"])
-        _release()
+        release()
 
     return rows
 
@@ -240,7 +231,7 @@ def _twice(buckets: int):
             if x:
                 yield sent(x, last)
         del held, needs
-        _release()
+        release()
 
     return rows
 
@@ -313,7 +304,7 @@ def _entries(n: int, buckets: int, hot: np.ndarray, table):
             out += [(bucket, _cut(grams[some], 6), of[some].tobytes(), b"") for bucket, some in _slices(grams, buckets)]
             out.append((behind, b"", a.tobytes(), sizes.astype("<i4").tobytes()))
             yield _rows(out, names)
-        _release()
+        release()
 
     return rows
 
@@ -387,7 +378,7 @@ def _shared(buckets: int, hot: np.ndarray, hot_sets: np.ndarray):
         if held:
             yield sent(held)
         del held
-        _release()
+        release()
 
     return rows
 
@@ -421,7 +412,7 @@ def _lists(num: int, den: int):
                 cols = [signed(a[at[keep]]), n[keep].astype(np.int32), shared[keep].astype(np.int32), ((n - shared) * 1000 // n)[keep].astype(np.int32)]
                 lists = [[x[at[i] : e[i]].tobytes() for i in keep] for x, e in ((gram, end), (key, np.minimum(at + head, end)))]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *(pa.array(x, pa.binary()) for x in lists)], names=["a", "n", "shared", "score", "grams", "head"])
-        _release()
+        release()
 
     return rows
 
@@ -490,7 +481,7 @@ def _walks(num: int, den: int):
             x, y = pairs(held)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
         del held
-        _release()
+        release()
 
     return rows
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix, prefix, signed, span_hash, window_minima, written
+from .common import discard, mix, prefix, release, signed, span_hash, window_minima, written
 
 #: Windows that are worked on at a time, so that memory doesn't grow with a document.
 CHUNK = 1 << 19
@@ -94,6 +94,7 @@ def _anchor_rows(kind: Kind):
                 doc, t = (np.array([r[i] for r in some], np.int64) for i in (0, 1))
                 for where, s, n, a, h, c in anchors(*kind.units([r[2] for r in some]), kind):
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc[where], t[where], s, n, a, h, c), schema)], schema=schema)
+        release()
 
     return rows
 
@@ -164,6 +165,7 @@ def _context_rows(kind: Kind):
                     s, n, a, h, c, k, low, high = ([r[name] for r in spans[i : i + 4096]] for name in names)
                     units = [kind.cut(raw, x, p, p + m + kind.window - 1) for p, m in zip(s, n)]
                     yield _contexts(h, c, k, low, high, a, [kind.anchor] * len(s), n, units)
+        release()
 
     return rows
 
@@ -257,5 +259,7 @@ def _sorted_rows(kind: Kind, others: bool):
                 last = r[0]
         if held:
             yield runs(held)
+        del held
+        release()
 
     return rows

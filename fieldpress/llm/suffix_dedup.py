@@ -117,7 +117,7 @@ class Suffixes:
         a, b = self.starts[order[:-1]], self.starts[order[1:]]
         same = self.common(a, b) >= self.length
         at = np.flatnonzero(same)
-        for some in np.array_split(at, max(1, len(at) * self.length // (1 << 24))):
+        for some in np.array_split(at, max(1, len(at) * self.length // (1 << 22))):
             reach = np.arange(self.length)
             same[some] = (self.data[a[some][:, None] + reach] == self.data[b[some][:, None] + reach]).all(axis=1)
         out = np.empty(len(order), np.int64)
