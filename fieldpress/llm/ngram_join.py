@@ -549,8 +549,10 @@ def ngram_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     shared = placed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("one").alias("a"), F.max("one").alias("b"), F.countDistinct("one").alias("k"))
     several = placed.join(shared.filter("k > 1").select("doc_id", F.col("a").alias("b")), "doc_id").select(F.col("one").alias("a"), "b")
     roots = connected_components(links.unionByName(several)).toDF("one", "root")
-    out = placed.join(roots, "one", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", F.when(F.col("n_shingles") > 0, F.col("one")), "doc_id")).alias("component_id"))
+    # A row without words goes with the other rows of its doc_id.
+    empty = placed.filter("n_shingles = 0").drop("one").join(shared.select("doc_id", F.col("a").alias("one")), "doc_id", "left")
+    out = placed.filter("n_shingles > 0").unionByName(empty).join(roots, "one", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "one", "doc_id")).alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,7 +211,7 @@ def test_near_copies_of_many_degrees(spark, monkeypatch, block, hot, n, num):
     chain = [f"z{k}" for k in range(100)]
     texts += [chain[k : k + 60] for k in range(0, 30)]  # each links to the next ones only
     texts += [line, line[:-1], line + ["more"]]
-    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts)] + [(3, " ".join(texts[0][:-1])), (None, " ".join(chain))]
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts)] + [(3, " ".join(texts[0][:-1])), (None, " ".join(chain)), (4, ""), (140, None), (9_999, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = [tuple(r) for r in ngram_join.ngram_classes(df, n, num, 100).collect()]
     expected = classes_by_brute_force(rows, n, num, 100)
