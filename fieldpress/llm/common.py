@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, the one place that driver and executors share.
 
-    Only where that setting is absent (tests, one machine) is a temporary folder set and used.
+    Only where that setting is absent and all runs in one process (tests) is a temporary folder set and used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="fieldpress-")
         spark.conf.set("spark.checkpoint.dir", base)
     folder = f"{base.rstrip('/')}/fieldpress/{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
 """Operator 1: WARC archives with revisit records for payloads that are already there.
 
-Only headers are shuffled by payload digest: (digest, record) pairs of payloads long enough to count. The response
+Headers alone are shuffled by payload digest: (digest, record) pairs of payloads long enough to count. The response
 of a digest is the record with the largest id, found by a pre-aggregated maximum; revisits are joined to it, and
-that join's hot digests can be split. Decisions are joined to the pages by record, and the archives are written
+that join's hot digests can be split. Decisions are joined to the pages by record and digest: where there are too many
+revisits for Spark to broadcast, that join shuffles the pages with their payloads once. The archives are written
 with fresh headers by Spark's own text writer, whose line separator is the end of a WARC record, so that
 writes are committed per task and any store will do. Reading parses by Content-Length.
 
