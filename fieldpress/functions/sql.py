@@ -1,4 +1,8 @@
-"""SQL names: ``field_encode(values, nt, ny, nx, bound)``, ``field_decode(stream)`` (missing cells are NULL) and the table function ``stream_cells(stream)``."""
+"""SQL names: ``field_encode(values, nt, ny, nx, bound)``, ``field_decode(stream)`` (missing cells are NULL) and the table function ``stream_cells(stream)``.
+
+Spark joins no Arrow table function laterally, so ``stream_cells`` makes rows one by one; for large streams ``posexplode(field_decode(stream))``
+gives the same cells in C order from Arrow batches.
+"""
 
 from __future__ import annotations
 

@@ -66,6 +66,7 @@ class FieldCodec:
         residual = struct.pack("<Q", len(entropy)) + entropy + pack_repairs(bad, valid[bad], c.dtype)
         self._lap("entropy")
         mask = pack_mask(missing)
+        self._lap("pack")
         most = float(error.max(initial=0.0))
         header = {
             "shape": list(c.shape), "dtype": c.dtype, "missing_value": "nan" if math.isnan(c.missing_value) else c.missing_value,
@@ -87,30 +88,35 @@ class FieldCodec:
         if box.header["dtype"] != c.dtype or tuple(box.header["shape"]) != c.shape:
             raise ContainerError(f"a stream of {box.header['dtype']}{tuple(box.header['shape'])}, not {c.dtype}{c.shape}")
         self._lap("frame")
-        field = decode_box(box)
-        self._lap("decode")
+        field = decode_box(box, self._lap)
         if out is None:
             return field
         out.reshape(-1)[:] = field.reshape(-1)
         return out
 
 
-def decode_box(box) -> np.ndarray:
+def decode_box(box, lap=lambda stage: None) -> np.ndarray:
+    """The field of a container; ``lap`` is called with the name of each stage when it has ended."""
     head = box.header
     shape, dtype = tuple(head["shape"]), np.dtype(head["dtype"])
     missing = unpack_mask(box.mask, math.prod(shape)).reshape(shape)
+    lap("mask")
     (size,) = struct.unpack_from("<Q", box.residual)
     symbols = decode_symbols(box.residual[8 : 8 + size], int(head["n_valid"]))
+    lap("entropy")
     places, values = unpack_repairs(box.residual[8 + size :], head["dtype"])
+    lap("repairs")
     valid = decode_valid(symbols, missing, head["quant_step"], head["origin"]).astype(dtype)
+    lap("scan")
     field = np.full(shape, math.nan if head["missing_value"] == "nan" else head["missing_value"], dtype)
     valid[places] = values
     field[~missing] = valid
+    lap("fill")
     return field
 
 
 # ---------------------------------------------------------------- DataFrames
-STREAMS = "field_id string, t0 int, nt int, ny int, nx int, dtype string, error_bound double, n_valid long, n_repaired long, max_abs_error double, uncompressed_size long, payload_size long, v_min double, v_max double, container binary"
+STREAMS = "field_id string, t0 int, nt int, ny int, nx int, dtype string, error_bound double, n_valid long, n_repaired long, max_abs_error double, bound_respected boolean, uncompressed_size long, payload_size long, v_min double, v_max double, container binary"
 
 
 def encode_cells(cells: DataFrame, error_bound: float, ny: int, nx: int, chunk: int | None = None, dtype: str = "float32", missing_value=math.nan, outer_compress: bool = True) -> DataFrame:
@@ -136,8 +142,8 @@ def encode_cells(cells: DataFrame, error_bound: float, ny: int, nx: int, chunk:
         ok = field[~missing_mask(field, config_missing)]
         low, high = (float(ok.min()), float(ok.max())) if len(ok) else (None, None)
         m = head["metrics"]
-        row = [field_id, t0, nt, ny, nx, dtype, float(error_bound), head["n_valid"], head["n_repaired"], m["max_abs_error"], m["uncompressed_size"], m["payload_size"], low, high, stream]
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+        row = [field_id, t0, nt, ny, nx, dtype, float(error_bound), head["n_valid"], head["n_repaired"], m["max_abs_error"], m["bound_respected"], m["uncompressed_size"], m["payload_size"], low, high, stream]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         return pa.table([pa.array([v], k) for v, k in zip(row, types)], names=[c.split()[0] for c in STREAMS.split(", ")])
 
     from ..config import check_missing

@@ -144,6 +144,19 @@ def missing_summary(spark, d):
     return m.agg(F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("mean"), F.round(F.stddev_samp("f"), 6).alias("std"), F.round(F.min("f"), 6).alias("low"), *q, F.round(F.max("f"), 6).alias("high"))
 
 
+@query(f"""WITH {BASE} SELECT max(t) + 1 AS nt, max(y) + 1 AS ny, max(x) + 1 AS nx, 'float64' AS dtype, 8 * count(*) AS bytes, round(count(*) * 8 / 1e6, 6) AS mb,
+round(100.0::DOUBLE * (count(*) - count(value)) / count(*), 6) AS missing_pct, min(value) AS low, max(value) AS high FROM cells""")
+def dataset_summary(spark, d):
+    n, size = F.count("*"), {f"n{c}": (F.max(c) + 1).alias(f"n{c}") for c in "tyx"}
+    return _cells(spark, d).agg(*size.values(), F.lit("float64").alias("dtype"), (8 * n).alias("bytes"), F.round(n * 8 / 1e6, 6).alias("mb"), F.round(100.0 * (n - F.count("value")) / n, 6).alias("missing_pct"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query(f"WITH {PAIRS} SELECT bool_and((coalesce(original, -999) = -999) = (coalesce(decoded, -999) = -999)) AS sentinel_identical FROM pairs")
+def sentinel_identity(spark, d):
+    p = _pairs(spark, d).withColumns({c: F.coalesce(c, F.lit(-999.0)) for c in ("original", "decoded")})
+    return metrics.sentinel_identity(p, -999.0).drop("field_id")
+
+
 @query(f"WITH {BASE} SELECT t, y, x, idx, value FROM valid")
 def valid_index(spark, d):
     return _valid(spark, d).select("t", "y", "x", "idx", "value")

@@ -18,8 +18,8 @@ def as_field(array: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(array, np.float32)
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(field_id, t, y, x, value) of each file; field_id is its path. Time steps are sent on one by one."""
+def read_npy(spark: SparkSession, path: str, t_from: int = 0, t_to: int | None = None) -> DataFrame:
+    """(field_id, t, y, x, value) of each file; field_id is its path. Time steps, or those from t_from to t_to, are sent on one by one."""
     names = ["field_id", "t", "y", "x", "value"]
 
     def cells(batches):
@@ -27,8 +27,8 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(batch["path"].to_pylist(), batch["content"]):
                 field = as_field(np.load(io.BytesIO(data.as_py()), allow_pickle=False))
                 y, x = (i.ravel().astype(np.int32) for i in np.indices(field.shape[1:]))
-                for t, plane in enumerate(field):
-                    n = plane.size
+                for t in range(t_from, len(field) if t_to is None else min(t_to + 1, len(field))):
+                    plane, n = field[t], field[t].size
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, t, np.int32)), pa.array(y), pa.array(x), pa.array(plane.ravel())], names=names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 SUFFIXES = (".nc", ".nc4", ".netcdf")
 
 
-def read_netcdf(spark: SparkSession, path: str, variable: str = "wvpa") -> DataFrame:
-    """(field_id, t, y, x, value) of one variable, a task per time step. The path must be readable on every executor."""
+def read_netcdf(spark: SparkSession, path: str, variable: str = "wvpa", t_from: int = 0, t_to: int | None = None) -> DataFrame:
+    """(field_id, t, y, x, value) of one variable, a task per time step from t_from to t_to. The path must be readable on every executor."""
     try:
         import xarray
     except ImportError as e:
@@ -33,4 +33,5 @@ def read_netcdf(spark: SparkSession, path: str, variable: str = "wvpa") -> DataF
                     n = plane.size
                     yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.full(n, t, np.int32)), pa.array(y), pa.array(x), pa.array(plane.ravel())], names=["field_id", "t", "y", "x", "value"])
 
-    return spark.range(steps).repartition(max(1, steps)).mapInArrow(cells, "field_id string, t int, y int, x int, value float")
+    last = steps if t_to is None else min(t_to + 1, steps)
+    return spark.range(t_from, max(last, t_from)).repartition(max(1, last - t_from)).mapInArrow(cells, "field_id string, t int, y int, x int, value float")

@@ -52,8 +52,10 @@ def test_chunks_and_pruning(spark, tmp_path):
     field = synthetic_array((6, 8, 10))
     np.save(tmp_path / "f.npy", field)
     cells = read_npy(spark, str(tmp_path / "f.npy"))
+    some = read_npy(spark, str(tmp_path / "f.npy"), 2, 3).collect()
+    assert {r.t for r in some} == {2, 3} and len(some) == 160 and read_npy(spark, str(tmp_path / "f.npy"), 9).count() == 0
     streams = codec.encode_cells(cells, 0.05, 8, 10, chunk=2).cache()
-    assert streams.count() == 3
+    assert streams.count() == 3 and all(r.bound_respected for r in streams.collect())
     got = codec.decode_streams(streams, 2, 3).collect()
     assert {r.t for r in got} == {2, 3} and len(got) == 160
     for r in got:
@@ -87,6 +89,9 @@ def test_sql_names(spark):
     back = spark.sql("SELECT field_decode(s) AS v FROM encoded").first().v
     assert back[1] is None and all(abs(a - b) <= 0.05 for a, b in zip([back[0], *back[2:]], [1, 2, 3]))
     assert spark.sql("SELECT c.* FROM encoded, LATERAL stream_cells(s) c").count() == 4
+    spark.sql("SELECT id, s FROM encoded, range(5)").createOrReplaceTempView("many")
+    rows = spark.sql("SELECT id, t, y, x, value FROM many, LATERAL stream_cells(s) c").collect()
+    assert sorted((r.id, r.t, r.y, r.x) for r in rows) == [(i, 0, y, x) for i in range(5) for y in range(2) for x in range(2)]
 
 
 def test_scan_of_all_days(spark):
