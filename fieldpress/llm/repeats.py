@@ -117,7 +117,7 @@ def groups(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[tuple]]:
 
 
 def repeated(docs: DataFrame, kind: Kind, others: bool) -> DataFrame:
-    """(doc_id, t, s, n, digest): windows s to s + n - 1 of that row repeat.
+    """(doc_id, t, spans): windows s to s + n - 1 of each span (s, n, digest) repeat in that row; a row for each context that has some.
 
     ``others``: only if the window also starts in a document with a smaller doc_id; else if it starts
     anywhere else at all. Documents without a doc_id neither give nor take windows.
@@ -141,8 +141,14 @@ def repeated(docs: DataFrame, kind: Kind, others: bool) -> DataFrame:
     wide = contexts.groupBy("one.doc_id", "one.t").agg(F.collect_list(F.struct("one.s", "n", "a", "h", "c", "k", "low", "high")).alias("spans"))
     listed = written(docs.join(wide, ["doc_id", "t"]).mapInArrow(_context_rows(kind), CONTEXTS), "windows")
     runs = _runs(listed, kind, others)
-    spans = found.join(runs if alone is None else runs.unionByName(alone), ["h", "c"])
-    return (spans.filter("doc_id > low") if others else spans).select("doc_id", "t", (F.col("s") + F.col("j")).alias("s"), F.col("m").cast("long").alias("n"), "digest")
+    runs = runs if alone is None else runs.unionByName(alone)
+    # A row for each context, so that a place of it meets one row whatever the number of its runs.
+    runs = written(runs.groupBy("h", "c").agg(F.collect_list(F.struct("j", "m", "low", "digest")).alias("runs")), "runs")
+    spans = found.join(runs, ["h", "c"])
+    if others:
+        spans = spans.withColumn("runs", F.filter("runs", lambda r: r["low"] < F.col("doc_id"))).filter(F.size("runs") > 0)
+    placed = F.transform("runs", lambda r: F.struct((F.col("s") + r["j"]).alias("s"), r["m"].cast("long").alias("n"), r["digest"].alias("digest")))
+    return spans.select("doc_id", "t", placed.alias("spans"))
 
 
 #: A context: how often it stands, where its anchor begins and how long that is, its windows, and its units.

@@ -60,7 +60,7 @@ def with_removals(docs: DataFrame, kind: Kind, others: bool, carry: list[str] |
     """doc_id, t, text (and rest) and the array ``spans`` of repeated windows (null where there are none)."""
     docs = keyed(docs, carry)
     # A set: equal rows find the same spans, and each of them gets every span once.
-    spans = repeated(docs, kind, others).groupBy("doc_id", "t").agg(F.collect_set(F.struct("s", "n", "digest")).alias("spans"))
+    spans = repeated(docs, kind, others).groupBy("doc_id", "t").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return docs.join(spans, ["doc_id", "t"], "left")
 
 
@@ -71,7 +71,8 @@ def longest_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     docs, out, words = keyed(docs), None, window
     while True:
-        found = written(repeated(docs, word_kind(words), True).select("doc_id", "t", "s", "n", F.lit(words).alias("words")), "repeats")
+        found = repeated(docs, word_kind(words), True).select("doc_id", "t", F.inline("spans"))
+        found = written(found.select("doc_id", "t", "s", "n", F.lit(words).alias("words")).distinct(), "repeats")
         if found.isEmpty():
             return out if out is not None else found
         out = found if out is None else out.unionByName(found)
