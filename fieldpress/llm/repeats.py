@@ -3,7 +3,8 @@
 A unit is a word or a byte. Every window of ``window`` units has one *anchor*: the run of ``anchor`` units
 inside it with the smallest hash. Equal windows have equal anchors at the same place, so only windows around an anchor
 that stands twice can repeat; the windows that have the same anchor in a row share one *context*, the span they
-cover together. One row per context is shuffled (about 2 per ``window - anchor`` units), not one per window:
+cover together. One row per context is shuffled (about 2 per ``window - anchor`` units), not one per window, and one with all
+its places where it stands in a text again and again (a line that is repeated):
 
 1. anchors that stand once are dropped (a sum per anchor hash, pre-aggregated before the shuffle);
 2. of equal contexts one stands for all, with their number and their smallest and largest doc_id (pre-aggregated too);
@@ -82,18 +83,34 @@ def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), *more)
 
 
-ANCHORS = "doc_id long, t long, s long, n int, a int, h long, c long"
+def placed(where: np.ndarray, s: np.ndarray, n: np.ndarray, a: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple:
+    """Of rows of ``anchors``, the first of each context of a text, and the other places of that context there as a list (null: none)."""
+    key = mix(c.view(np.uint64) ^ mix(where.astype(np.uint64)))  # two keys that happen to be equal leave more rows, nothing else
+    order = np.argsort(key, kind="stable")
+    w_, h_, c_ = where[order], h[order], c[order]
+    new = np.flatnonzero(np.r_[True, (w_[1:] != w_[:-1]) | (h_[1:] != h_[:-1]) | (c_[1:] != c_[:-1])])
+    more = np.diff(np.r_[new, len(order)]) - 1
+    by = np.argsort(order[new])  # as they stood
+    new, more = new[by], more[by]
+    first, end = order[new], np.cumsum(more)
+    others = s[order[np.repeat(new + 1 - (end - more), more) + np.arange(more.sum())]]
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(others, pa.int64()), mask=pa.array(more == 0))
+    return where[first], s[first], lists, n[first], a[first], h[first], c[first]
+
+
+ANCHORS = "doc_id long, t long, s long, more array<long>, n int, a int, h long, c long"
 
 
 def _anchor_rows(kind: Kind):
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("a", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("s", pa.int64()), ("more", pa.list_(pa.int64())), ("n", pa.int32()), ("a", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in groups([(doc, t, encoded(x)) for doc, t, x in zip(batch["doc_id"].to_pylist(), batch["t"].to_pylist(), batch["text"]) if doc is not None]):
                 doc, t = (np.array([r[i] for r in some], np.int64) for i in (0, 1))
-                for where, s, n, a, h, c in anchors(*kind.units([r[2] for r in some]), kind):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc[where], t[where], s, n, a, h, c), schema)], schema=schema)
+                for found in anchors(*kind.units([r[2] for r in some]), kind):
+                    where, s, more, *rest = placed(*found)
+                    yield pa.RecordBatch.from_arrays([x if x is more else pa.array(x, f.type) for x, f in zip((doc[where], t[where], s, more, *rest), schema)], schema=schema)
         release()
 
     return rows
@@ -117,19 +134,20 @@ def groups(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[tuple]]:
 
 
 def repeated(docs: DataFrame, kind: Kind, others: bool) -> DataFrame:
-    """(doc_id, t, spans): windows s to s + n - 1 of each span (s, n, digest) repeat in that row; a row for each context that has some.
+    """(doc_id, t, spans): windows s to s + n - 1 of each span (s, n, digest) repeat in that row; a row for each context that has some, however often the row has it.
 
     ``others``: only if the window also starts in a document with a smaller doc_id; else if it starts
     anywhere else at all. Documents without a doc_id neither give nor take windows.
     """
     docs = docs.select("doc_id", "text", "t")
     all_ = written(docs.mapInArrow(_anchor_rows(kind), ANCHORS), "all")
-    per = all_.groupBy("h").agg(*([F.min("doc_id").alias("low"), F.max("doc_id").alias("high")] if others else [F.count("*").alias("k")]))
+    times = F.sum(F.coalesce(F.size("more"), F.lit(0)) + 1).alias("k")
+    per = all_.groupBy("h").agg(*([F.min("doc_id").alias("low"), F.max("doc_id").alias("high")] if others else [times]))
     # Written and read again, a side of a join is shuffled for that join alone, and AQE can split a hot key.
     per = written(per.filter("low < high" if others else "k > 1").select("h"), "anchors")
     found = written(all_.join(per, "h"), "found")
     discard(all_)
-    ends = [F.count("*").alias("k"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
+    ends = [times, F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
     contexts = found.groupBy("h", "c").agg(*ends, F.min("n").alias("n"), F.min("a").alias("a"), F.min(F.struct("doc_id", "t", "s")).alias("one"))
     contexts = written(contexts, "contexts")
     alone = None
@@ -142,13 +160,14 @@ def repeated(docs: DataFrame, kind: Kind, others: bool) -> DataFrame:
     listed = written(docs.join(wide, ["doc_id", "t"]).mapInArrow(_context_rows(kind), CONTEXTS), "windows")
     runs = _runs(listed, kind, others)
     runs = runs if alone is None else runs.unionByName(alone)
-    # A row for each context, so that a place of it meets one row whatever the number of its runs.
+    # A row for each context, so that a text that has it meets one row, whatever the number of its places there and of its runs.
     runs = written(runs.groupBy("h", "c").agg(F.collect_list(F.struct("j", "m", "low", "digest")).alias("runs")), "runs")
     spans = found.join(runs, ["h", "c"])
     if others:
         spans = spans.withColumn("runs", F.filter("runs", lambda r: r["low"] < F.col("doc_id"))).filter(F.size("runs") > 0)
-    placed = F.transform("runs", lambda r: F.struct((F.col("s") + r["j"]).alias("s"), r["m"].cast("long").alias("n"), r["digest"].alias("digest")))
-    return spans.select("doc_id", "t", placed.alias("spans"))
+    places = F.concat(F.array("s"), F.coalesce("more", F.array().cast("array<long>")))
+    there = F.transform(places, lambda s: F.transform("runs", lambda r: F.struct((s + r["j"]).alias("s"), r["m"].cast("long").alias("n"), r["digest"].alias("digest"))))
+    return spans.select("doc_id", "t", F.flatten(there).alias("spans"))
 
 
 #: A context: how often it stands, where its anchor begins and how long that is, its windows, and its units.

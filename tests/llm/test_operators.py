@@ -100,6 +100,18 @@ def test_equal_rows_take_linear_work(spark):
         assert len(found) == n and {r.k for r in found} == {found[0].k} and found[0].k < 60
 
 
+def test_repeated_lines_take_a_row_for_each_context(spark):
+    """A document that repeats a line has the same context every period: one row with all its places."""
+    rng = np.random.default_rng(8)
+    line = prose(30, rng)
+    rows = [(k, f"{prose(60, rng)}\n" + f"{line}\n" * times) for k, times in enumerate([40, 80, 40, 80, 3])] + [(1, f"{line}\n" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for kind, others, remove, brute in ((substring_dedup.word_kind(50), True, substring_dedup.remove_repeats, removed_words), (suffix_dedup.byte_kind(200), False, suffix_dedup.remove_repeated_bytes, brute_bytes)):
+        per = repeats.repeated(repeats.keyed(df), kind, others).groupBy("doc_id", "t").agg(F.count("*").alias("rows"), F.sum(F.size("spans")).alias("spans")).collect()
+        assert max(r.spans for r in per) >= 80 and max(r.rows for r in per) <= 16
+        assert sorted(map(tuple, remove(df, texts=False).collect()), key=repr) == sorted(brute(rows), key=repr)
+
+
 def test_longest_repeats(spark):
     rng = np.random.default_rng(4)
     passage = prose(450, rng)
